@@ -91,14 +91,15 @@ def _lay(raw) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), offsets
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: int = 4096, work_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: int = 4096, work_bytes: int = 1 << 20, as_text: bool = False) -> DataFrame:
     """Every column of docs, and what is left of the text without repeated strings of `length` bytes.
 
     A byte goes if some string of `length` bytes that covers it also starts
     anywhere else, in the same text or another one; this is judged on the
     input, so every copy goes. Texts count as UTF-8 bytes and matches never
     cross texts. Adds n_bytes, n_removed, n_spans (maximal removed runs), kept
-    (binary) and spans, an array of [start, end).
+    (binary; with as_text a string, without the parts of characters that a
+    span's end has cut) and spans, an array of [start, end).
 
     A null text counts as empty. Repeated rows repeat each other, also under
     the same or a null doc_id. Columns of docs with these names are replaced.
@@ -217,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
             for text, a, b in zip(frame["text"], frame["_a"], frame["_b"]):
                 raw = b"" if text is None else text.encode("utf-8", "replace")
                 if a is None or not len(a):
-                    out.append((len(raw), 0, 0, raw, []))
+                    out.append((len(raw), 0, 0, raw.decode() if as_text else raw, []))
                     continue
                 delta = np.zeros(len(raw) + 1, dtype=np.int64)
                 np.add.at(delta, np.asarray(a), 1)
@@ -225,12 +226,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
                 gone = np.cumsum(delta)[:-1] > 0
                 e = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((len(raw), int(gone.sum()), len(e) // 2, kept, e.reshape(-1, 2).tolist()))
+                out.append((len(raw), int(gone.sum()), len(e) // 2, kept.decode("utf-8", "ignore") if as_text else kept, e.reshape(-1, 2).tolist()))
             more = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "spans"], index=frame.index)
             yield pd.concat([frame[names], more], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return joined.select(*names, "_a", "_b").mapInPandas(keep, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
+    return joined.select(*names, "_a", "_b").mapInPandas(keep, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, spans array<array<long>>")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
