@@ -258,7 +258,7 @@ def near_duplicates(
         for part in tk.batches(frames):
             yield pd.DataFrame({"key": part["key"], "rep": part["rep"], "shingles": [s.tobytes() for s in tk.shingle_sets(part["text"], words)]})
 
-    members = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters, "rep").mapInPandas(sets, "key long, rep long, shingles binary")
+    members = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.hint("merge"), "rep").mapInPandas(sets, "key long, rep long, shingles binary")
     weights = clusters.join(reps.select("rep", "n"), "rep").groupBy("key").agg(
         F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes))).alias("blocks")
     )

@@ -125,22 +125,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
 
     per_anchor = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"))
     shared_anchors = staged.put(per_anchor.filter("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")))
-    shared = staged.put(runs.join(shared_anchors, "anchor"))
+    shared = staged.put(runs.join(shared_anchors.hint("merge"), "anchor"))
     staged.drop(runs)
+    staged.tidy()
     mark = lambda df: df.select("_id", "_th", F.col("pos").alias("a"), (F.col("pos") + F.col("wins")).alias("b"))
     marks = [mark(shared.filter("not mixed"))]
 
     mixed = shared.filter("mixed")
     first = F.min(F.struct("_id", "_th", "pos", "wins"))
     kinds = staged.put(mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), first.alias("one")))
-    marks.append(mark(mixed.join(kinds.filter("n > 1").select("anchor", "content"), ["anchor", "content"])))
+    marks.append(mark(mixed.join(kinds.filter("n > 1").select("anchor", "content").hint("merge"), ["anchor", "content"])))
     large = staged.put(kinds.groupBy("anchor").count().filter(F.col("count") > split).select("anchor"))
     has_large = bool(large.head(1))
 
     def bytes_of(chosen: DataFrame) -> DataFrame:
         """The runs of each text are listed on one row, which meets the text once."""
         lists = chosen.select("one._id", "one._th", F.struct("one.pos", "one.wins", "anchor", "n").alias("r")).groupBy("_id", "_th").agg(F.collect_list("r").alias("runs"))
-        return lists.join(light, ["_id", "_th"])
+        return lists.hint("merge").join(light, ["_id", "_th"])
 
     def take(frames):
         seen = set()
@@ -209,7 +210,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     for m in marks[1:]:
         rows = rows.union(m)
     lists = staged.put(rows.groupBy("_id", "_th").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b")))
-    joined = keyed.join(lists.withColumnsRenamed({"_id": "_i", "_th": "_t"}), (F.coalesce(keyed["_id"], F.lit(-(2**63))) == F.col("_i")) & (keyed["_th"] == F.col("_t")), "left")
+    staged.tidy()
+    joined = keyed.join(lists.withColumnsRenamed({"_id": "_i", "_th": "_t"}).hint("merge"), (F.coalesce(keyed["_id"], F.lit(-(2**63))) == F.col("_i")) & (keyed["_th"] == F.col("_t")), "left")
     names = own.columns
 
     def keep(frames):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +46,11 @@ class Staged:
         out.staged_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are no longer referenced."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         _remove(self.spark, df.staged_path)
 
