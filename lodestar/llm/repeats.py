@@ -112,7 +112,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     def cut(frames):
         for frame in frames:
             ids, th = frame["_id"].to_numpy(), frame["_th"].to_numpy()
-            for rows, raw, begins in _pieces(frame["text"], length, 4 << 20):
+            for rows, raw, begins in _pieces(frame["text"], length, 1 << 20):
                 doc, start, wins, anchor, content = runs_of(*_lay(raw), length, gram)
                 row = np.asarray(rows)[doc]
                 yield pd.DataFrame(
