@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def ngrams(texts) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def lettered(texts) -> np.ndarray:
+    """Whether each text has a letter of any script; only texts without an ASCII letter are decoded for it."""
+    data, offsets = tk.lay_out(texts)
+    sums = np.concatenate(([0], np.cumsum((_FOLD[data] < 128) & (_FOLD[data] != 32))))
+    out = sums[offsets[1:]] > sums[offsets[:-1]]
+    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)).tolist():
+        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "ignore"))
+    return out
+
+
 def codewords(n: int, bits: int | None = None) -> np.ndarray:
     """n codewords of +-1 that lie far apart; of many random draws the one with the largest least distance."""
     bits = bits or max(15, 8 * int(np.ceil(np.log2(max(n, 2)))) - 1)
@@ -129,22 +140,18 @@ def identify_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """
     model = train(docs, per_language)
     own = docs.drop("held_out", "lang_pred", "score", "ambiguous")
-    names = own.columns
 
-    def run(frames):
-        for part in tk.batches(frames, 1 << 20):
-            found = np.array(["und"] * len(part), dtype=object)
-            score, near = np.zeros(len(part)), np.ones(len(part), bool)
-            if model is not None:
-                lettered = np.array([t is not None and any(c.isalpha() for c in t) for t in part["text"]], bool)
-                if lettered.any():
-                    best, s, flag = model.predict(ngrams(part["text"][lettered]))
-                    found[lettered] = np.array(model.names, dtype=object)[best]
-                    score[lettered], near[lettered] = s, flag
-            yield pd.concat([part[names], pd.DataFrame({"lang_pred": found, "score": score, "ambiguous": near}, index=part.index)], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInPandas(run, f"{fields}, lang_pred string, score double, ambiguous boolean").withColumn("held_out", remainder(4) == 2)
+    def make(piece):
+        texts = piece.column("text")
+        found = np.array(["und"] * len(texts), dtype=object)
+        score, near = np.zeros(len(texts)), np.ones(len(texts), bool)
+        at = np.flatnonzero(lettered(texts)) if model is not None else []
+        if len(at):
+            best, score[at], near[at] = model.predict(ngrams(texts.take(pa.array(at))))
+            found[at] = np.array(model.names, dtype=object)[best]
+        return {"lang_pred": found, "score": score, "ambiguous": near}
+
+    return tk.append(own, {"lang_pred": pa.string(), "score": pa.float64(), "ambiguous": pa.bool_()}, make, 1 << 20).withColumn("held_out", remainder(4) == 2)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,47 +153,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     ignored; an id with several texts counts as one item. Columns of docs with
     the added names are replaced.
     """
-    spark = docs.sparkSession
     own = docs.drop("n_words", "n_hit", "items", "longest", "contaminated", "_hits")
-    names = own.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    schema = f"{fields}, n_words long, _hits binary, items array<string>, longest long"
-
-    def scan(block: list[tuple[str, str]] | None):
-        def run(frames):
-            suffixes = Suffixes(block or [], window)
-            for part in tk.batches(frames, 8 << 20):
-                rows = search(suffixes, part["text"])
-                before = part["_hits"] if "_hits" in part else [None] * len(part)
-                items = part["items"] if "items" in part else [()] * len(part)
-                longest = part["longest"] if "longest" in part else [0] * len(part)
-                hits = [h if b is None else h | np.unpackbits(np.frombuffer(b, np.uint8), count=len(h)).astype(bool) for (_, h, *_), b in zip(rows, before)]
-                more = pd.DataFrame(
-                    {
-                        "n_words": [r[0] for r in rows],
-                        "_hits": [np.packbits(h).tobytes() for h in hits],
-                        "items": [sorted({*old, *(suffixes.names[j] for j in r[2])}) for old, r in zip(items, rows)],
-                        "longest": [max(int(old), r[4]) for old, r in zip(longest, rows)],
-                    },
-                    index=part.index,
-                )
-                yield pd.concat([part[names], more], axis=1)
-
-        return run
-
-    now, n, staged = own, 0, Staged(spark, "leaks")
+    added = {"n_words": pa.int64(), "_hits": pa.binary(), "items": pa.list_(pa.string()), "longest": pa.int64()}
+
+    def scan(block: list[tuple[str, str]]):
+        ready = []
+
+        def make(piece):
+            if not ready:  # once for each task
+                ready.append(Suffixes(block, window))
+            suffixes = ready[0]
+            found = search(suffixes, piece.column("text"))
+            if "_hits" not in piece.schema.names:
+                return {"n_words": [r[0] for r in found], "_hits": [np.packbits(r[1]).tobytes() for r in found], "items": [sorted(suffixes.names[j] for j in r[2]) for r in found], "longest": [r[4] for r in found]}
+            before = [piece.column(c).to_pylist() for c in ("_hits", "items", "longest")]
+            hits = [np.packbits(r[1]) | np.frombuffer(b, np.uint8) for r, b in zip(found, before[0])]
+            return {
+                "n_words": [r[0] for r in found],
+                "_hits": [h.tobytes() for h in hits],
+                "items": [sorted({*old, *(suffixes.names[j] for j in r[2])}) for old, r in zip(before[1], found)],
+                "longest": [max(old, r[4]) for old, r in zip(before[2], found)],
+            }
+
+        return make
+
+    now, n, staged = own, 0, Staged(docs.sparkSession, "leaks")
     for block in _blocks(benchmark, block_bytes):
         n += 1
-        now = (now if n == 1 else staged.put(now)).mapInPandas(scan(block), schema)
+        now = tk.append(now if n == 1 else staged.put(now), added, scan(block), 8 << 20)
     if not n:
-        now = own.mapInPandas(scan(None), schema)
-
-    def tally(frames):
-        for frame in frames:
-            frame["n_hit"] = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in frame["_hits"]]
-            yield frame.drop(columns="_hits")
-
-    out = now.mapInPandas(tally, f"{fields}, n_words long, items array<string>, longest long, n_hit long")
+        now = tk.append(now, added, scan([]), 8 << 20)
+    # bits past the text's last word are never set
+    out = tk.append(now, {"n_hit": pa.int64()}, lambda piece: {"n_hit": [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in piece.column("_hits").to_pylist()]}, 64 << 20, without=("_hits",))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,22 +225,20 @@ def near_duplicates(
     assert k % 32 == 0, "bands * rows must be a multiple of 32"
     mult = _odd(k, 4321)
 
-    def signatures(frames):
-        for part in tk.batches(frames):
-            out = []
-            for i, s in zip(part["doc_id"], tk.shingle_sets(part["text"], words)):
-                if not len(s):
-                    out.append((i, 0, None, None, None, None))
-                    continue
-                m = minima(s, mult)
-                keys = tk.combine([np.arange(bands, dtype=np.uint64), *m.reshape(bands, rows).T.astype(np.uint64)]).view(np.int64)
-                sums = np.array([s.sum(dtype=np.uint64), tk.mix(s * U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)]).view(np.int64)
-                out.append((i, len(s), int(sums[0]), int(sums[1]), pack((m & np.uint32(3))[None])[0].tobytes(), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "f1", "f2", "sketch", "keys"])
-
-    signed = staged.put(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(signatures, "doc_id long, n long, f1 long, f2 long, sketch binary, keys array<long>")
-    )
+    def signatures(piece):
+        out = []
+        for s in tk.shingle_sets(piece.column("text"), words):
+            if not len(s):
+                out.append((0, None, None, None, None))
+                continue
+            m = minima(s, mult)
+            keys = tk.combine([np.arange(bands, dtype=np.uint64), *m.reshape(bands, rows).T.astype(np.uint64)]).view(np.int64)
+            sums = np.array([s.sum(dtype=np.uint64), tk.mix(s * U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)]).view(np.int64)
+            out.append((len(s), int(sums[0]), int(sums[1]), pack((m & np.uint32(3))[None])[0].tobytes(), keys))
+        return dict(zip(("n", "f1", "f2", "sketch", "keys"), zip(*out)))
+
+    made = {"n": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "sketch": pa.binary(), "keys": pa.list_(pa.int64())}
+    signed = staged.put(tk.append(docs.select(F.col("doc_id").cast("long"), "text"), made, signatures, without=("text",)))
     found = signed.filter("n > 0 and doc_id is not null")
     reps = staged.put(found.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("keys", "doc_id").alias("keys")))
     banded = reps.select("rep", "n", "sketch", F.explode("keys").alias("key"))
@@ -254,11 +253,11 @@ def near_duplicates(
     )
     clusters = components(loose, staged).withColumnRenamed("node", "rep").withColumnRenamed("component", "key")
 
-    def sets(frames):
-        for part in tk.batches(frames):
-            yield pd.DataFrame({"key": part["key"], "rep": part["rep"], "shingles": [s.tobytes() for s in tk.shingle_sets(part["text"], words)]})
+    def sets(piece):
+        return {"shingles": [s.tobytes() for s in tk.shingle_sets(piece.column("text"), words)]}
 
-    members = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.hint("merge"), "rep").mapInPandas(sets, "key long, rep long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    members = tk.append(texts.join(clusters.hint("merge"), "rep"), {"shingles": pa.binary()}, sets, without=("text",))
     weights = clusters.join(reps.select("rep", "n"), "rep").groupBy("key").agg(
         F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes))).alias("blocks")
     )

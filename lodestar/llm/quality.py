@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,15 +201,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Every column of docs but its own columns named like a statistic, and the statistics of the whole text."""
-    own = docs.drop(*STATS)
-    names = own.columns
-
-    def run(frames):
-        for part in tk.batches(frames, 2 << 20):
-            yield pd.concat([part[names], pd.DataFrame(statistics(part["text"]), columns=STATS, index=part.index)], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInPandas(run, fields + "".join(f", {s} double" for s in STATS))
+    return tk.append(docs.drop(*STATS), dict.fromkeys(STATS, pa.float64()), lambda piece: dict(zip(STATS, statistics(piece.column("text")).T)), 2 << 20)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> RuleModel:

@@ -17,9 +17,9 @@ compared with all others, and a text's own marks meet it in one join.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,22 +67,22 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return doc[starts], starts - offsets[doc[starts]], stop - starts, anchor, content
 
 
-def _pieces(texts, length: int, limit: int):
-    """The texts' bytes laid out in groups, and very long ones in overlapping parts: (rows, data, offsets, starts of the parts)."""
-    raw, rows, begins, total = [], [], [], 0
-    for i, t in enumerate(texts):
-        b = b"" if t is None else t.encode("utf-8", "replace")
-        for s in range(0, max(1, len(b) - length + 1), limit):
-            part = b[s : s + limit + length - 1]
-            raw.append(part)
-            rows.append(i)
-            begins.append(s)
-            total += len(part)
-            if total >= limit:
-                yield rows, raw, begins
-                raw, rows, begins, total = [], [], [], 0
-    if raw:
-        yield rows, raw, begins
+def _parts(texts, length: int, limit: int):
+    """(rows, bytes, offsets, starts of the parts) of groups of texts, about `limit` bytes each; a very long text is cut to overlapping parts, so that each of its windows starts in one."""
+    data, offsets = tk.lay_out(texts)
+    size = np.diff(offsets)
+    long = np.append(np.flatnonzero(size > 2 * limit), len(size))
+    i = 0
+    while i < len(size):
+        if size[i] > 2 * limit:
+            for s in range(0, int(size[i]) - length + 1, limit):
+                part = data[offsets[i] + s : min(offsets[i] + s + limit + length - 1, offsets[i + 1])]
+                yield np.array([i]), part, np.array([0, len(part)]), np.array([s])
+            i += 1
+            continue
+        j = max(i + 1, min(int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1, int(long[np.searchsorted(long, i)])))
+        yield np.arange(i, j), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.zeros(j - i, np.int64)
+        i = j
 
 
 def _lay(raw) -> tuple[np.ndarray, np.ndarray]:
@@ -109,19 +109,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     own = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "spans", "_id", "_th")
     keyed = own.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
 
-    def cut(frames):
-        for frame in frames:
-            ids, th = frame["_id"].to_numpy(), frame["_th"].to_numpy()
-            for rows, raw, begins in _pieces(frame["text"], length, 1 << 20):
-                doc, start, wins, anchor, content = runs_of(*_lay(raw), length, gram)
-                row = np.asarray(rows)[doc]
-                yield pd.DataFrame(
-                    {"_id": ids[row], "_th": th[row], "pos": np.asarray(begins)[doc] + start, "wins": wins.astype(np.int32), "anchor": anchor.view(np.int64), "content": content.view(np.int64)}
-                )
+    def cut(batches):
+        for batch in batches:
+            ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
+            for rows, data, offsets, begins in _parts(batch.column("text"), length, 1 << 20):
+                doc, start, wins, anchor, content = runs_of(data, offsets, length, gram)
+                row = rows[doc]
+                values = (ids[row], th[row], begins[doc] + start, wins.astype(np.int32), anchor.view(np.int64), content.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["_id", "_th", "pos", "wins", "anchor", "content"])
 
-    # a null id is told apart by its text hash alone
-    light = keyed.select(F.coalesce("_id", F.lit(-(2**63))).alias("_id"), "_th", "text")
-    runs = staged.put(light.mapInPandas(cut, "_id long, _th long, pos long, wins int, anchor long, content long"))
+    # a null id is told apart by its text hash alone; as bytes a text is never decoded
+    light = keyed.select(F.coalesce("_id", F.lit(-(2**63))).alias("_id"), "_th", F.col("text").cast("binary").alias("text"))
+    runs = staged.put(light.mapInArrow(cut, "_id long, _th long, pos long, wins int, anchor long, content long"))
 
     per_anchor = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"))
     shared_anchors = staged.put(per_anchor.filter("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")))
@@ -150,8 +149,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
                 if (i, th) in seen:  # repeated rows carry the same bytes
                     continue
                 seen.add((i, th))
-                b = text.encode("utf-8", "replace")
-                yield pd.DataFrame([(i, th, r["pos"], r["anchor"], r["n"] > 1, b[r["pos"] : r["pos"] + r["wins"] + length - 1]) for r in runs], columns=["_id", "_th", "pos", "anchor", "known", "piece"])
+                yield pd.DataFrame([(i, th, r["pos"], r["anchor"], r["n"] > 1, text[r["pos"] : r["pos"] + r["wins"] + length - 1]) for r in runs], columns=["_id", "_th", "pos", "anchor", "known", "piece"])
 
     small = kinds.join(large, "anchor", "left_anti") if has_large else kinds
     met = (
@@ -212,28 +210,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     lists = staged.put(rows.groupBy("_id", "_th").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b")))
     staged.tidy()
     joined = keyed.join(lists.withColumnsRenamed({"_id": "_i", "_th": "_t"}).hint("merge"), (F.coalesce(keyed["_id"], F.lit(-(2**63))) == F.col("_i")) & (keyed["_th"] == F.col("_t")), "left")
-    names = own.columns
 
-    def keep(frames):
-        for frame in frames:
-            out = []
-            for text, a, b in zip(frame["text"], frame["_a"], frame["_b"]):
-                raw = b"" if text is None else text.encode("utf-8", "replace")
-                if a is None or not len(a):
-                    out.append((len(raw), 0, 0, raw.decode() if as_text else raw, []))
-                    continue
+    def keep(piece):
+        data, offsets = tk.lay_out(piece.column("text"))
+        a, b = (piece.column(c).to_pylist() for c in ("_a", "_b"))
+        out = {"n_bytes": np.diff(offsets), "n_removed": [], "n_spans": [], "kept": [], "spans": []}
+        for i in range(len(a)):
+            raw = data[offsets[i] : offsets[i + 1]]
+            gone, e = None, np.zeros(0, np.int64)
+            if a[i]:
                 delta = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(delta, np.asarray(a), 1)
-                np.add.at(delta, np.asarray(b) + length - 1, -1)
+                np.add.at(delta, np.asarray(a[i]), 1)
+                np.add.at(delta, np.asarray(b[i]) + length - 1, -1)
                 gone = np.cumsum(delta)[:-1] > 0
                 e = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((len(raw), int(gone.sum()), len(e) // 2, kept.decode("utf-8", "ignore") if as_text else kept, e.reshape(-1, 2).tolist()))
-            more = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "spans"], index=frame.index)
-            yield pd.concat([frame[names], more], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return joined.select(*names, "_a", "_b").mapInPandas(keep, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, spans array<array<long>>")
+            kept = (raw if gone is None else raw[~gone]).tobytes()
+            out["n_removed"].append(0 if gone is None else int(gone.sum()))
+            out["n_spans"].append(len(e) // 2)
+            out["kept"].append(kept.decode("utf-8", "ignore") if as_text else kept)
+            out["spans"].append(e.reshape(-1, 2).tolist())
+        return out
+
+    added = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary(), "spans": pa.list_(pa.list_(pa.int64()))}
+    return tk.append(joined.select(*own.columns, "_a", "_b"), added, keep, without=("_a", "_b"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

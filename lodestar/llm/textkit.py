@@ -1,14 +1,20 @@
 """Byte-level text kernels shared by the corpus operators.
 
-Everything here works on one Arrow/pandas batch at a time: the UTF-8 bytes of
-the batch are laid end to end in one numpy array and words, shingles and
-windows are found with whole-array operations, so no Python loop runs per
-byte or per word. A word hash is 64 bits and depends on the word's bytes only.
+Everything here works on one Arrow batch at a time: the UTF-8 bytes of the
+batch are one numpy array, read from Arrow's own buffer without decoding, and
+words, shingles and windows are found with whole-array operations, so no
+Python loop runs per byte or per word. A word hash is 64 bits and depends on
+the word's bytes only.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -89,11 +95,19 @@ def slice_hash(h: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarr
 
 
 def lay_out(texts) -> tuple[np.ndarray, np.ndarray]:
-    """All UTF-8 bytes end to end and the len(texts)+1 offsets; null counts as empty, a lone surrogate as '?'."""
-    raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-    offsets = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.cumsum([len(r) for r in raw], out=offsets[1:])
-    return np.frombuffer(b"".join(raw), dtype=np.uint8), offsets
+    """All UTF-8 bytes end to end and the len(texts)+1 offsets, of an Arrow column or a list; null counts as empty."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([None if t is None else t.encode("utf-8", "replace") if isinstance(t, str) else t for t in texts], pa.binary())
+    n = len(texts)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if texts.null_count:
+        texts = pc.fill_null(texts, pa.scalar(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "", texts.type))
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, places, values = texts.buffers()
+    offsets = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
 
 
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,10 +161,37 @@ def shingle_sets(texts, size: int, member: np.ndarray = NON_SPACE) -> list[np.nd
     return out
 
 
+def pieces(batches, limit: int = 4 << 20, column: str = "text"):
+    """Cuts Arrow batches so that a piece holds about `limit` bytes of text; a long text stands alone."""
+    for batch in batches:
+        group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def append(docs: DataFrame, added: dict[str, pa.DataType], make, limit: int = 4 << 20, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the columns of make(piece), a dict of values by name, in place of its own columns of these names and those of `without`.
+
+    The other columns pass as Arrow arrays and are never converted, whatever
+    their types and nulls.
+    """
+    names = [c for c in docs.columns if c not in added and c not in without]
+
+    def run(batches):
+        for piece in pieces(batches, limit):
+            more = make(piece)
+            columns = [piece.column(c) for c in names] + [pa.array(more[c], t) for c, t in added.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+
+    kept = [StructField(f.name, f.dataType) for f in docs.schema.fields if f.name in names]
+    return docs.mapInArrow(run, StructType(kept + [StructField(c, from_arrow_type(t)) for c, t in added.items()]))
+
+
 def batches(frames, limit: int = 4 << 20):
-    """Cuts pandas frames with a text column so that a piece holds about `limit` characters; a long text stands alone."""
+    """Like pieces, for pandas frames; a bounded sample of labelled rows is small enough for them."""
     for frame in frames:
-        sizes = frame["text"].str.len().fillna(0).to_numpy(dtype=np.int64)
-        group = np.cumsum(sizes) // limit
+        group = np.cumsum(frame["text"].str.len().fillna(0).to_numpy(dtype=np.int64)) // limit
         for _, part in frame.groupby(group, sort=True):
             yield part.reset_index(drop=True)

@@ -87,8 +87,10 @@ def test_op7_toxicity(spark, labels):
     out = by_id(toxicity.op7_toxicity(spark, "/root/testdata/sf0.01"))
     assert all(r.held_out == (brute.remainder(d, 3) == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for d, r in out.items())
     held = [(out[d].score, r.toxic) for d, r in labels.items() if d in out and out[d].held_out and r.toxic is not None]
-    assert len(held) > 50 and auc(held) > 0.95
-    assert sum((s >= 0.7) == y for s, y in held) / len(held) > 0.93
+    # a fifth of the labels of 1 here stand on texts without any toxic word
+    assert len(held) > 50 and auc(held) > 0.85
+    assert sum((s >= 0.7) == y for s, y in held) / len(held) > 0.95
+    assert not any(s >= 0.7 and not y for s, y in held)
 
 
 def test_op8_language(spark):
