@@ -82,8 +82,9 @@ def mix(docs: DataFrame, fraction: float = 0.5, weights: dict | None = None, max
     """The selected copies: every column of docs, and domain, n_tokens and epoch.
 
     The budget is `fraction` of all tokens (runs of characters other than
-    ASCII white space). A document of no tokens costs nothing and comes with
-    every prefix. Null lang and source count as '' in the tree. Rows that
+    ASCII white space). A leaf with less than one token left takes no prefix; a
+    document of no tokens costs nothing and comes with every other one. A leaf
+    without any token gives none. Null lang and source count as '' in the tree. Rows that
     repeat a doc_id have equal hashes and are taken or left together. An empty
     table gives none. Columns of docs named domain, n_tokens or epoch are
     replaced; `slices` is the number of hex digits that tell hash slices.
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, fraction: float = 0.5, weights: dict | None = None, max
     cut = staged.put(
         plan.join(edge.select(*LEVELS, "slice"), list(LEVELS), "left").join(fits, list(LEVELS), "left")
         # keys below the edge's slice compare below its digits; no edge: all fit
-        .select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "whole", F.coalesce("last", "slice", F.lit("g")).alias("last"))
+        .select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "whole", F.when(F.col("rest") >= 1, F.coalesce("last", "slice", F.lit("g"))).otherwise("").alias("last"))
     )
     met = rows.join(cut.withColumnsRenamed({"_domain": "_d", "_lang": "_l", "_source": "_s"}), (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
     part = key(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) <= F.col("last")
@@ -154,7 +155,7 @@ leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, C
     _sql_level('c', 'domain, lang, source', 'domain, lang', '1.0::DOUBLE', 'budget')},
 p AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(least(floor(budget / tokens + 1e-9), 4) AS INTEGER) ELSE 0 END AS whole FROM leaf JOIN c USING (domain, lang, source)),
 k AS (SELECT t.*, whole, budget - whole * tokens AS rest, md5('17|' || whole || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM t JOIN p USING (domain, lang, source)),
-s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) <= rest AS part FROM k)
+s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) <= rest AND rest >= 1 AS part FROM k)
 SELECT doc_id, domain, lang0 AS lang, source0 AS source, n_tokens, CAST(unnest(range(0, whole + CAST(part AS INTEGER))) AS INTEGER) AS epoch FROM s
 """
 
