@@ -1,12 +1,15 @@
-"""The dialect's scalar functions, as SQL functions that Spark expands into native expressions.
+"""The dialect's scalar functions, each a native Spark SQL expression over its parameters.
 
-`register(spark)` makes them known to a session. None runs Python except
-`ls_json_contains`, for which the second argument may differ by row.
+`inline(sql)` writes their bodies into a statement, so they work in every
+clause and cost nothing to set up; `register(spark)` makes them known to a
+session by name instead. None runs Python except `ls_json_contains`, for
+queries that differ by row or hold arrays.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -136,11 +139,96 @@ def _json_contains(documents: pd.Series, queries: pd.Series) -> pd.Series:
     return pd.Series([one(d, q) for d, q in zip(documents, queries)], dtype=bool)
 
 
+_WORDS = re.compile(r"""'(?:[^'\\]|\\.)*'|`[^`]*`|[A-Za-z_][A-Za-z0-9_]*|\S|\s+""", re.S)
+_NUMBERS = {"BIGINT", "DOUBLE", "ARRAY<DOUBLE>"}
+
+
+def _macros() -> dict[tuple[str, int], tuple[list[tuple[str, str]], str, list[str]]]:
+    """(name, parameters) -> their names and types, the result's type, and the body's words with lambda variables no column is named like."""
+    out = {}
+    for head, (kind, body) in {**FUNCTIONS, **_typed()}.items():
+        name, _, rest = head.partition("(")
+        params = [tuple(p.strip().split(" ", 1)) for p in rest[:-1].split(",")]
+        bound = set(re.findall(r"(\w+)\s*->", body)) | {x for pair in re.findall(r"\((\w+), (\w+)\)\s*->", body) for x in pair}
+        out[name, len(params)] = (params, kind, [f"_l_{w}" if w in bound else w for w in _WORDS.findall(body)])
+    return out
+
+
+def inline(sql: str) -> str:
+    """The statement with every ls_ function written out."""
+    if not _MACROS:
+        _MACROS.update(_macros())
+    words, out, i = _WORDS.findall(sql), [], 0
+    while i < len(words):
+        j = i + 1
+        while j < len(words) and words[j].isspace():
+            j += 1
+        if not words[i].startswith("ls_") or j >= len(words) or words[j] != "(":
+            out.append(words[i])
+            i += 1
+            continue
+        depth, args, j = 1, [[]], j + 1
+        while depth:
+            depth += (words[j] in "([") - (words[j] in ")]")
+            if depth == 1 and words[j] == ",":
+                args.append([])
+            elif depth:
+                args[-1].append(words[j])
+            j += 1
+        args = [inline("".join(a)).strip() for a in args]
+        macro = _MACROS.get((words[i], len(args)))
+        if macro is None:
+            out.append(f"{words[i]}({', '.join(args)})")
+        else:
+            params, kind, body = macro
+            given = {n: f"CAST({a} AS {t})" if t in _NUMBERS else f"({a})" for (n, t), a in zip(params, args)}
+            text = inline("".join(given.get(w, w) if w.isidentifier() else w for w in body))
+            out.append(f"CAST({text} AS {kind})" if kind in _NUMBERS else f"({text})")
+        i = j
+    return "".join(out)
+
+
+_MACROS: dict = {}
+
+
+def contains_sql(document: str, query: str) -> str | None:
+    """JSON_CONTAINS for a literal query without arrays, as tests of its leaves; None for others."""
+    v, tests = f"try_parse_json({document})", []
+
+    def walk(path: str, q) -> bool:
+        x = f"try_variant_get({v}, {literal(path)}, 'variant')"
+        kind = f"schema_of_variant({x})"
+        if isinstance(q, list):
+            return False
+        if isinstance(q, dict):
+            tests.append(f"{kind} LIKE 'OBJECT%'")
+            return all('"' not in k and "\\" not in k and walk(f'{path}["{k}"]', child) for k, child in q.items())
+        if q is None:
+            tests.append(f"{kind} = 'VOID'")
+        elif isinstance(q, bool):
+            tests.append(f"{kind} = 'BOOLEAN' AND try_variant_get({v}, {literal(path)}, 'boolean') = {str(q).lower()}")
+        elif isinstance(q, str):
+            tests.append(f"{kind} = 'STRING' AND try_variant_get({v}, {literal(path)}, 'string') = {literal(q)}")
+        else:
+            tests.append(f"({kind} IN ('BIGINT', 'DOUBLE') OR {kind} LIKE 'DECIMAL%') AND try_variant_get({v}, {literal(path)}, 'double') = {float(q)!r}D")
+        return True
+
+    try:
+        return f"coalesce({' AND '.join(tests)}, false)" if walk("$", json.loads(query)) else None
+    except ValueError:
+        return None
+
+
+def register_python(spark: SparkSession) -> None:
+    """The one function that runs in Python workers."""
+    spark.udf.register("ls_json_contains", F.pandas_udf(_json_contains, "boolean"))
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session; safe to call again."""
+    """Makes the functions known to the session by name; safe to call again."""
     for head, (kind, body) in {**FUNCTIONS, **_typed()}.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
-    spark.udf.register("ls_json_contains", F.pandas_udf(_json_contains, "boolean"))
+    register_python(spark)
 
 
 def literal(text: str) -> str:
@@ -209,7 +297,7 @@ def rank_sql(document: str, query: str) -> str:
         score += f" + if(ls_has_phrase({d}, {_array(p)}), {0.25 * len(p) / n!r}D, 0D)"
     if n >= 2:
         # for every start the farthest of each term's first places from there on
-        far = f"transform({_array(q)}, t -> coalesce(array_min(filter(transform({d}, (x, i) -> if(x = t, i + 1, NULL)), k -> k >= s)), {_BIG}))"
-        span = f"array_min(transform(sequence(1, greatest(size({d}), 1)), s -> array_max({far}) - s + 1))"
+        far = f"transform({_array(q)}, _q -> coalesce(array_min(filter(transform({d}, (_x, _i) -> if(_x = _q, _i + 1, NULL)), _k -> _k >= _s)), {_BIG}))"
+        span = f"array_min(transform(sequence(1, greatest(size({d}), 1)), _s -> array_max({far}) - _s + 1))"
         score += f" + if(({hit}) = {n}, 0.2D * ({n}D / {span}) * {cover}, 0D)"
     return f"CASE WHEN {document} IS NULL OR ({hit}) = 0 THEN 0D ELSE {score} END"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +37,13 @@ def dialect(name: str, text: str, oracle: str | None, args=None) -> None:
     """Registers a query that is written in the dialect itself."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        library.register(spark)
+        sql = rewrite(text, args)
+        if "ls_json_contains(" in sql:
+            library.register_python(spark)
         for t in TABLES:
-            if f"{t} " in text.replace("\n", " ") + " " or f"{t})" in text:
+            if re.search(rf"\b{t}\b", text):
                 _read(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(rewrite(text, args))
+        return spark.sql(sql)
 
     QUERIES[name] = run
     if oracle is not None:
@@ -159,7 +162,7 @@ dialect("sort_nulls", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c LEFT
         "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY o_orderkey NULLS FIRST, c_custkey LIMIT 60")
 dialect("sort_function", "SELECT p_partkey FROM part ORDER BY LENGTH(p_name), p_partkey LIMIT 30", "SELECT p_partkey FROM part ORDER BY strlen(p_name), p_partkey LIMIT 30")
 dialect("sort_natural", "SELECT s_name, NATURAL_SORT(s_name) AS k FROM supplier ORDER BY NATURAL_SORT(s_name) LIMIT 50",
-        "SELECT s_name, list_aggregate(list_transform(regexp_extract_all(s_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, greatest(20, length(x)), '0') ELSE x END), 'string_agg', '') AS k FROM supplier ORDER BY k LIMIT 50")
+        "SELECT s_name, list_aggregate(list_transform(regexp_extract_all(s_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, CAST(greatest(20, length(x)) AS INTEGER), '0') ELSE x END), 'string_agg', '') AS k FROM supplier ORDER BY k LIMIT 50")
 dialect("topk", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
 dialect("limit_offset", "SELECT event_id FROM events ORDER BY event_id LIMIT 15 OFFSET 40", "SELECT event_id FROM events ORDER BY event_id LIMIT 15 OFFSET 40")
 

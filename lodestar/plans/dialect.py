@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from lodestar.functions.library import literal, match_sql, rank_sql
+from lodestar.functions.library import contains_sql, inline, literal, match_sql, rank_sql
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*"|`[^`]*`)|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"""
@@ -209,7 +209,7 @@ class _Rewriter:
         elif upper in ("JSON_TYPE", "JSON_ARRAY_LENGTH"):
             call = f"ls_{upper.lower()}{'_at' if len(args) == 2 else ''}({', '.join(args)})"
         elif upper == "JSON_CONTAINS":
-            call = f"ls_json_contains({', '.join(args)})"
+            call = (raw[1] is not None and contains_sql(args[0], unquote(raw[1]))) or f"ls_json_contains({', '.join(args)})"
         elif upper in ("MATCH", "TS_RANK") and len(args) == 2:
             if raw[1] is None:
                 raise ValueError(f"{upper} takes a literal or bound query")
@@ -276,7 +276,7 @@ def bind(tokens: list[tuple[str, str]], args) -> list[tuple[str, str]]:
 
 
 def rewrite_tokens(tokens: list[tuple[str, str]]) -> str:
-    return _Rewriter(tokens).run()
+    return inline(_Rewriter(tokens).run())
 
 
 def rewrite(sql: str, args=None) -> str:
