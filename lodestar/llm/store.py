@@ -41,7 +41,7 @@ class Staged:
         """Writes the rows and returns a plan that starts from the files: a lost executor costs no recomputation."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
         return out
