@@ -113,10 +113,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 150, penalt
 
 def train(docs: DataFrame, per_language: int = 1000) -> LanguageModel | None:
     """Fits on at most `per_language` texts of each language (those with the smallest hash of doc_id), whose hashed n-grams come to the driver."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(remainder(4) != 2)
     staged = Staged(docs.sparkSession, "language")
-    chosen = staged.put(known.select("doc_id", "lang", F.xxhash64("text").alias("_t"), "text").withColumn("_r", rank).filter(F.col("_r") <= per_language).select("doc_id", "lang", "text"))
+    given = docs.filter("lang is not null and text is not null and doc_id is not null").filter(remainder(4) != 2).select("doc_id", "lang", F.xxhash64("text").alias("_t"), "text")
+    known = given.drop("text")
+    counts = staged.put(known.groupBy("lang").agg(F.count("*").alias("_n")))
+    # hashes are spread evenly: those under this share of their range leave about half as many rows again as are wanted, to be ranked
+    under = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= (1.5 * per_language + 100) / F.col("_n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_t"))
+    few = known.join(counts, "lang").filter(under).select("doc_id", "lang", "_t").distinct()
+    picked = staged.put(few.withColumn("_r", rank).filter(F.col("_r") <= per_language).drop("_r"))
+    chosen = staged.put(given.join(picked, ["doc_id", "lang", "_t"]).dropDuplicates(["doc_id", "lang", "_t"]).select("doc_id", "lang", "text"))
 
     def run(frames):
         for part in tk.batches(frames, 1 << 20):
