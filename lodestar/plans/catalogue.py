@@ -106,6 +106,14 @@ def join_self(spark, sf_dir):
     return e.alias("x").join(e.alias("y"), ["user_id", "event_type"]).filter("x.event_id < y.event_id").select(F.col("x.event_id").alias("a"), F.col("y.event_id").alias("b"))
 
 
+@query("SELECT e1.event_id AS a, e2.event_id AS b FROM events e1 ASOF JOIN events e2 ON e1.user_id = e2.user_id AND e1.event_type = e2.event_type AND e1.event_id < e2.event_id")
+def join_self_next(spark, sf_dir):
+    """Every event with the user's next one of the same type."""
+    e = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.row_number().over(windows.over(["user_id", "event_type"], ["event_id"])).alias("n"))
+    after = e.select(F.col("event_id").alias("b"), "user_id", "event_type", (F.col("n") - 1).alias("n"))
+    return e.join(after, ["user_id", "event_type", "n"]).select(F.col("event_id").alias("a"), "b")
+
+
 @query("SELECT user_id, event_id, u.n FROM events JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u USING (user_id)")
 def join_salted(spark, sf_dir):
     e = _read(spark, sf_dir, "events").select("user_id", "event_id")

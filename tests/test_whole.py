@@ -16,3 +16,10 @@ def test_every_row_in_order(spark, sf_dir, con, name):
     capped = catalogue.SQL[name.removesuffix("_all")]
     whole = con.execute(capped[: capped.rindex(" LIMIT ")]).fetchall()
     assert [plain(tuple(r)) for r in catalogue.QUERIES[name](spark, sf_dir).collect()] == [plain(r) for r in whole]
+
+
+def test_self_join_pairs_every_event(spark, sf_dir, con):
+    """All events but the last of their user and type have a partner."""
+    rows = catalogue.QUERIES["join_self_next"](spark, sf_dir).collect()
+    events, groups = con.execute("SELECT count(*), count(DISTINCT (user_id, event_type)) FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL").fetchone()
+    assert len({r.a for r in rows}) == len({r.b for r in rows}) == len(rows) == events - groups
