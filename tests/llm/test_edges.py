@@ -175,6 +175,25 @@ def test_toxic_words_behind_disguises(spark):
     assert [got[d] for d, _ in new] == [1] * 7 + [0] * 3
 
 
+def test_toxic_words_in_long_and_joined_disguises():
+    """Spelled words are found beside single letters and at any length, and behind doubled letters and trailing signs."""
+    counts: dict[str, int] = {}
+    for word in ["stupid", "idiots", "moron", "river", "stone", "cloud", "letter", "will", "a", "hello", "class", "green"] * 50:
+        w = f"^^{word}$"
+        for i in range(len(w) - 2):
+            counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + 1
+    model = toxicity.CharModel(counts)
+    read = lambda text: toxicity.restore(text, model)
+    assert read("a s t u p i d") == "a stupid"
+    spelled = " ".join("riverstonecloud") + " " + " ".join("stupid")
+    for times in (1, 3, 200):
+        assert read(" ".join([spelled] * times)).split() == ["river", "stone", "cloud", "stupid"] * times
+    assert read("-".join(["m0r0n"] * 40)).split() == ["moron"] * 40
+    assert (read("stuupid"), read("moroon"), read("idiot$"), read("idiot$!")) == ("stupid", "moron", "idiots", "idiots")
+    for own in ("letter", "will", "hello!", "class!!", "hello-class", "green)"):
+        assert read(own) == own
+
+
 def test_language(docs, none):
     rows = matched(language.identify_language(docs))
     for r, (_, text, *_) in zip(rows, ROWS):
