@@ -1,7 +1,9 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
 A text is cut into small paragraphs after line ends and sentence ends, and a
-stretch without either every `WIDEST` characters. Consecutive paragraphs form
+stretch of over `WIDEST` characters without either after words whose own hash
+says so. Only what is still longer between two such words is cut every
+`WIDEST` characters, from the first of them on. Consecutive paragraphs form
 a section that ends after a paragraph whose own hash says so. Leaves hash the
 paragraphs, branches hash their leaves, and the root hashes the whole text. A
 fingerprint is the root followed by the sections, each with its branch and its
@@ -19,6 +21,8 @@ from .store import table
 #: A section ends after a paragraph whose hash begins with one of these: one in eight, found by content, so edits move no later cut.
 CUTS = "01"
 WIDEST = 160
+#: Signs that end a line or a sentence, and those that end a word besides; one word in WORDS ends a paragraph of a long stretch.
+ENDS, WORD_ENDS, WORDS = r"\n.!?。！？｡؟।…", r"\s,;:、，；：", 16
 #: Characters kept of each branch and leaf hash; the root is whole.
 SHORT = 8
 
@@ -27,10 +31,23 @@ def _hash(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def _by_words(stretch: Column) -> Column:
+    """A stretch without line ends, cut after the words whose hash is in one of WORDS classes, and by width where none is."""
+    words = F.regexp_extract_all(stretch, F.lit(rf"[^{WORD_ENDS}]*+[{WORD_ENDS}]++|[^{WORD_ENDS}]++"), F.lit(0))
+    marked = F.array_join(F.transform(words, lambda w: F.when(F.xxhash64(w).bitwiseAND(F.lit(WORDS - 1)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)), "")
+    return F.flatten(F.transform(F.split(marked, "\n"), lambda p: F.regexp_extract_all(p, F.lit(rf"(?s).{{1,{WIDEST}}}"), F.lit(0))))
+
+
+def paragraphs(text: Column) -> Column:
+    """The pieces of the text in order; together they are the whole text."""
+    # a stretch that is too long comes without the signs that end it, which follow alone
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^{ENDS}]{{0,{WIDEST}}}+[{ENDS}]++|[^{ENDS}]++"), F.lit(0))
+    return F.flatten(F.transform(found, lambda p: F.when((F.length(p) > WIDEST) & ~p.rlike(rf"[{ENDS}]\z"), _by_words(p)).otherwise(F.array(p))))
+
+
 def leaves(text: Column) -> Column:
     """Short hashes of the text's paragraphs, which cover the whole text."""
-    cut = F.lit(rf"[^\n.!?]{{0,{WIDEST}}}[\n.!?]+|[^\n.!?]{{1,{WIDEST}}}")
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), cut, F.lit(0)), lambda p: F.substring(_hash(p), 1, SHORT))
+    return F.transform(paragraphs(text), lambda p: F.substring(_hash(p), 1, SHORT))
 
 
 def tree(leaf: Column) -> Column:

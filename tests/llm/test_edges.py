@@ -222,6 +222,20 @@ def test_merkle_locates_edits(spark):
     assert len(r["at"]) in (1, 2) and r.n > 10 and 0.95 < r.near < 1
 
 
+def test_merkle_long_stretches(spark):
+    """An edit at the front of a long stretch changes few leaves, and the paragraphs are the text."""
+    plain = " ".join(f"w{i * 7919 % 10007}" for i in range(3000))
+    cjk = "".join(chr(0x4E00 + i * i * 31 % 5000) + ("。" if i % 37 == 36 else "，" if i % 11 == 10 else "") for i in range(4000))
+    pairs = [(plain, plain[:20] + "x" + plain[20:]), (plain, plain[:20] + plain[21:]), (cjk, cjk[:5] + "x" + cjk[5:])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    near = df.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b")).select(F.size(merkle.changed_sections(F.col("a"), F.col("b"))), merkle.likeness(F.col("a"), F.col("b")))
+    for changed, like in near.collect():
+        assert changed <= 2 and 0.95 < like < 1
+    odd = [plain, cjk, "a" * 1000, "x" * 300 + "...\n\n" + "y z\r\u2028 " * 90 + "!", "", "\n", "." * 400, "é" * 161, "w " * 500]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", merkle.paragraphs(F.col("t")).alias("p")).collect()
+    assert all("".join(r.p) == r.t and "" not in r.p for r in got)
+
+
 def test_neardup(spark, docs, none):
     got = neardup.near_duplicates(docs).collect()
     known = {d: t for d, t, *_ in ROWS if d is not None}
