@@ -5,8 +5,10 @@ benchmark's vocabulary (0: not in it), and the suffixes that can match at all,
 those whose first two words stand together in the benchmark, are sorted into
 a sparse suffix array. Every suffix of every benchmark text is then located by
 binary search: its longest verbatim match and the places of all matches of a
-whole window. Shards are independent, so nothing is shuffled and the work
-grows with the training text alone.
+whole window. Suffixes are sorted by their first `window` words; matches of a
+whole window that follow each other are then joined to their full length.
+Shards are independent, so nothing is shuffled and the work grows with the
+training text alone.
 
 The benchmark travels with the task in blocks of a bounded size; a benchmark
 of several blocks is searched block by block over the same texts.
@@ -25,6 +27,7 @@ from . import textkit as tk
 from .store import Staged, table
 
 U64 = np.uint64
+SPAN = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("text_word", pa.int64()), ("words", pa.int64())])
 
 
 class Suffixes:
@@ -70,7 +73,7 @@ def _keys(grid: np.ndarray) -> np.ndarray:
 
 
 def search(suffixes: Suffixes, texts) -> list[tuple[int, np.ndarray, list[int], np.ndarray, int]]:
-    """Per text: words, hit mask, items with an occurring window, (item, item word, text word) of the matches, longest match in words."""
+    """Per text: words, hit mask, items with an occurring window, (item, item word, text word, words) of the matches that no longer one holds, longest match in words."""
     hashes, bounds = tk.word_hashes(texts, tk.ALNUM)
     w = suffixes.window
     code = suffixes.codes(hashes)
@@ -81,7 +84,7 @@ def search(suffixes: Suffixes, texts) -> list[tuple[int, np.ndarray, list[int],
     follow = np.where(np.arange(1, n + 1) < ends, follow, 0)
     able = (code > 0) & (_member(suffixes.pairs, code * suffixes.v + follow) | _member(suffixes.singles, code))
     starts = np.flatnonzero(able)
-    counts = [(int(m), np.zeros(int(m), bool), [], np.zeros((0, 3), np.int64), 0) for m in np.diff(bounds)]
+    counts = [(int(m), np.zeros(int(m), bool), [], np.zeros((0, 4), np.int64), 0) for m in np.diff(bounds)]
     if not len(starts) or not len(suffixes.rows):
         return counts
     pad = np.concatenate((code, np.zeros(w, np.int64)))
@@ -112,17 +115,35 @@ def search(suffixes: Suffixes, texts) -> list[tuple[int, np.ndarray, list[int],
     np.add.at(delta, at, 1)
     np.add.at(delta, at + suffixes.width[which], -1)
     hit = np.cumsum(delta)[:-1] > 0
-    owner = text[at]
+    spots = _extended(suffixes.item[which], suffixes.place[which], at, suffixes.width[which], ends)
+    owner = text[spots[:, 2]]
     by = np.argsort(owner, kind="stable")
     cut = np.searchsorted(owner[by], np.arange(len(texts) + 1))
     out = []
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        mine = by[cut[i] : cut[i + 1]]
-        spots = np.stack((suffixes.item[which[mine]], suffixes.place[which[mine]], at[mine] - a), axis=1)
-        out.append((b - a, hit[a:b], np.unique(spots[:, 0]).tolist(), spots, max(int(best[i]), int(suffixes.width[which[mine]].max()) if len(mine) else 0)))
+        mine = spots[by[cut[i] : cut[i + 1]]]
+        mine[:, 2] -= a
+        out.append((b - a, hit[a:b], np.unique(mine[:, 0]).tolist(), mine, max(int(best[i]), int(mine[:, 3].max()) if len(mine) else 0)))
     return out
 
 
+def _extended(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(item, item word, text word, words) of the maximal matches behind all located windows, sorted by item and diagonal.
+
+    Windows of one match stand on one diagonal (text word - item word) at
+    places one after the other, as every window of it is located. A run of
+    them is one match, of its first window's start to its last one's end;
+    beyond that no word agrees, or the next window would stand there too.
+    """
+    order = np.lexsort((place, at - place, item))
+    item, place, at, width = item[order], place[order], at[order], width[order]
+    first = np.ones(len(item), bool)
+    first[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1) | (ends[at[1:]] != ends[at[:-1]])
+    a = np.flatnonzero(first)
+    b = np.append(a[1:], len(item)) - 1 if len(a) else a
+    return np.stack((item[a], place[a], at[a], at[b] + width[b] - at[a]), axis=1)
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int):
     """The benchmark in blocks of at most block_bytes of text (a longer item alone), read item by item."""
     block, size = [], 0
@@ -145,16 +166,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     non-ASCII characters. A window is `window` consecutive words of an item,
     or a shorter item's whole text. Adds n_words, n_hit (words inside an
     occurrence of a window), items (sorted ids, as strings, of the items that
-    have one), longest (words of the longest match of any benchmark suffix,
-    counted to `window`) and contaminated (n_hit > 0 and share * n_hit >=
+    have one), spans (item, item word and text word from 0, and words of every
+    maximal match that holds a window), longest (words of the longest match of
+    any benchmark suffix) and contaminated (n_hit > 0 and share * n_hit >=
     n_words).
 
     Null or wordless texts and items match nothing; an item without an id is
     ignored; an id with several texts counts as one item. Columns of docs with
     the added names are replaced.
     """
-    own = docs.drop("n_words", "n_hit", "items", "longest", "contaminated", "_hits")
-    added = {"n_words": pa.int64(), "_hits": pa.binary(), "items": pa.list_(pa.string()), "longest": pa.int64()}
+    own = docs.drop("n_words", "n_hit", "items", "spans", "longest", "contaminated", "_hits")
+    added = {"n_words": pa.int64(), "_hits": pa.binary(), "items": pa.list_(pa.string()), "spans": pa.list_(SPAN), "longest": pa.int64()}
 
     def scan(block: list[tuple[str, str]]):
         ready = []
@@ -164,15 +186,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
                 ready.append(Suffixes(block, window))
             suffixes = ready[0]
             found = search(suffixes, piece.column("text"))
+            spans = [[dict(zip(("item", "item_word", "text_word", "words"), (suffixes.names[j], *more))) for j, *more in r[3].tolist()] for r in found]
             if "_hits" not in piece.schema.names:
-                return {"n_words": [r[0] for r in found], "_hits": [np.packbits(r[1]).tobytes() for r in found], "items": [sorted(suffixes.names[j] for j in r[2]) for r in found], "longest": [r[4] for r in found]}
-            before = [piece.column(c).to_pylist() for c in ("_hits", "items", "longest")]
+                return {"n_words": [r[0] for r in found], "_hits": [np.packbits(r[1]).tobytes() for r in found], "items": [sorted(suffixes.names[j] for j in r[2]) for r in found], "spans": spans, "longest": [r[4] for r in found]}
+            before = [piece.column(c).to_pylist() for c in ("_hits", "items", "spans", "longest")]
             hits = [np.packbits(r[1]) | np.frombuffer(b, np.uint8) for r, b in zip(found, before[0])]
             return {
                 "n_words": [r[0] for r in found],
                 "_hits": [h.tobytes() for h in hits],
                 "items": [sorted({*old, *(suffixes.names[j] for j in r[2])}) for old, r in zip(before[1], found)],
-                "longest": [max(old, r[4]) for old, r in zip(before[2], found)],
+                "spans": [old + new for old, new in zip(before[2], spans)],
+                "longest": [max(old, r[4]) for old, r in zip(before[3], found)],
             }
 
         return make

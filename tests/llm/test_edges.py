@@ -103,6 +103,18 @@ def test_leaks(spark, docs, none):
     assert leaks.find_leaks(none, bench).count() == 0
 
 
+def test_leaks_full_length(spark):
+    """Matches longer than a window are reported whole, with their places."""
+    words = LONG.split()
+    items = [("a", " ".join(words[:300])), ("b", " ".join(words[1000:1040])), ("c", "q r s")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(1, " ".join(["x", *words[50:250], "y", *words[1000:1040], *words[0:20]])), (2, "q r s q r s"), (3, " ".join(words[0:12])), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (16 << 20, 30):
+        got = {r.doc_id: (sorted(map(tuple, r.spans)), r.longest) for r in leaks.find_leaks(df, bench, block_bytes=size).collect()}
+        assert got == {1: ([("a", 0, 242, 20), ("a", 50, 1, 200), ("b", 0, 202, 40)], 200), 2: ([("c", 0, 0, 3), ("c", 0, 3, 3)], 3), 3: ([], 12), 4: ([], 0)}
+
+
 def test_mixing(spark, docs, none):
     one = mixing.mix(docs, fraction=1.0, weights={}, max_epochs=1).collect()
     # every row fits once, those without a token too, but for leaves that have none at all
