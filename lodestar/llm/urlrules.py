@@ -34,6 +34,38 @@ def _address(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)))
 
 
+def _without_dots(address: Column) -> Column:
+    """An address whose path's '.' and '..' parts are resolved; its query stays as it is."""
+    host, path, query = (F.regexp_extract(address, r"(?s)^([^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    parts = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")), F.lit(1)))
+    kept = F.reduce(
+        parts,
+        F.array().cast("array<string>"),
+        lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))),
+    )
+    # a path that ends in a dot part names a directory
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(host, F.lit("/"), F.array_join(kept, "/"), end, query)).otherwise(address)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an absolute url, seen from the page's url; null where it is no web address or the url has no host."""
+    host, path = host_of(url), path_of(url)
+    query = F.regexp_extract(_rest(url), r"^[^/?#]*[^?#]*(\?[^#]*)?", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)[^/]*$", 1))
+    scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+    address = (
+        F.when(target.rlike(scheme + "//"), _rest(target))
+        .when(F.startswith(target, F.lit("//")), F.substring(target, F.lit(3), F.length(target)))
+        .when(target.rlike(scheme) | (host == ""), F.lit(None).cast("string"))
+        .when(F.startswith(target, F.lit("/")), F.concat(host, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(host, path, target))
+        .when(F.startswith(target, F.lit("#")), F.concat(host, path, query, target))
+        .otherwise(F.concat(host, folder, target))
+    )
+    return F.concat(F.lit("http://"), _without_dots(address))
+
+
 def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> Column:
     return ((host == rule_host) | F.endswith(host, F.concat(F.lit("."), rule_host))) & F.startswith(path, rule_path)
 
@@ -72,12 +104,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     kinds = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
     target = F.transform(kinds, lambda t: F.when(F.startswith(F.lower(t), F.lit("<link")), F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)))
     found = pages.select(F.col("url"), F.explode(target).alias("t")).filter("t != ''")
-    absolute = (
-        F.when(F.instr("t", "://") > 0, F.col("t"))
-        .when(F.startswith(F.col("t"), F.lit("//")), F.concat(F.lit("http:"), "t"))
-        .when(F.startswith(F.col("t"), F.lit("/")), F.concat(F.lit("http://"), host_of(F.col("url")), "t"))
-    )
-    return found.select(_address(F.col("url")).alias("a"), _address(absolute).alias("b")).filter("a is not null and b is not null and a != b")
+    return found.select(_address(F.col("url")).alias("a"), _address(resolved(F.col("t"), F.col("url"))).alias("b")).filter("a is not null and b is not null and a != b")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

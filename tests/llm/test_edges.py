@@ -167,6 +167,20 @@ def test_urls(spark):
     assert urlrules.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_relative_links(spark):
+    """Path-relative targets are resolved against the page's folder, queries against its path."""
+    cases = [
+        ("http://a.org/x/y?q=1", "page.html", "http://a.org/x/page.html"), ("http://a.org/x/y", "../z", "http://a.org/z"), ("http://a.org/x/y/", "./z/./w", "http://a.org/x/y/z/w"), ("http://a.org/x/y?q=1", "?p=1", "http://a.org/x/y?p=1"),
+        ("http://a.org", "b", "http://a.org/b"), ("http://a.org/x/y", "../../../z", "http://a.org/z"), ("http://a.org/x/y/w", "..", "http://a.org/x/"), ("http://a.org/x?q=1", "#f", "http://a.org/x?q=1#f"), ("http://a.org/x", "mailto:a@b", None),
+        ("http://a.org/x", "//B.com/c", "http://B.com/c"), ("http://a.org/x", "https://b.com/c?u=http://d", "http://b.com/c?u=http://d"), ("http://a.org/x/", "go?u=http://d/../e", "http://a.org/x/go?u=http://d/../e"), ("http://a.org/x", "/c", "http://a.org/c"), ("none", "c", None),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases], "u string, t string")
+    assert [r[0] for r in df.coalesce(1).select(urlrules.resolved(F.col("t"), F.col("u"))).collect()] == [c[2] for c in cases]
+    link = '<link rel="canonical" href="{}">'
+    pages = spark.createDataFrame([(1, "http://c.org/d/e", link.format("../bad")), (2, "http://c.org/bad", link.format("http://x.net/"))], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urlrules.judge_urls(pages).collect()} == {1: "block", 2: "block"}
+
+
 @pytest.mark.parametrize("op", [quality.classify_quality, toxicity.classify_toxicity])
 def test_classifiers(docs, none, labels, op):
     rows = matched(op(docs, labels))
