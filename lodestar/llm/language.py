@@ -28,34 +28,41 @@ _FOLD[65:91] = np.arange(97, 123)
 
 
 def ngrams(texts) -> np.ndarray:
-    """Unit rows of the square roots of hashed 1-, 2- and 3-gram counts; anything but letters counts as one kind of space."""
-    data, offsets = tk.lay_out(texts)
-    n = len(offsets) - 1
-    out = np.zeros(n * DIM, np.float64)
-    x = _FOLD[data]
-    doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    code = np.zeros(len(x), np.uint32)
-    for size in (1, 2, 3):
-        m = len(x) - size + 1
-        if m <= 0:
-            break
-        code = (code[:m] if size > 1 else np.zeros(m, np.uint32)) * np.uint32(257) + x[size - 1 :]
-        inside = doc[size - 1 :] == doc[:m]
-        blank = (x[:m] == 32) & (x[size - 1 :] == 32)
-        ok = inside & ~blank
-        h = ((code[ok] + np.uint32(size * 0x9E37)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        out += np.bincount(doc[:m][ok] * DIM + h, minlength=n * DIM)
-    out = np.sqrt(out.reshape(n, DIM))
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    """Unit rows of the square roots of hashed 1-, 2- and 3-gram counts; anything but letters counts as one kind of space.
+
+    A text of over tk.CHUNK bytes is counted part by part; its parts meet at white space.
+    """
+    out = np.zeros((len(texts), DIM), np.float32)
+    for owner, data, offsets in tk.parts(texts, 128):
+        n = len(owner)
+        counts = np.zeros(n * DIM, np.float32)
+        x = _FOLD[data]
+        doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+        code = np.zeros(len(x), np.uint32)
+        for size in (1, 2, 3):
+            m = len(x) - size + 1
+            if m <= 0:
+                break
+            code = (code[:m] if size > 1 else np.zeros(m, np.uint32)) * np.uint32(257) + x[size - 1 :]
+            inside = doc[size - 1 :] == doc[:m]
+            blank = (x[:m] == 32) & (x[size - 1 :] == 32)
+            ok = inside & ~blank
+            h = ((code[ok] + np.uint32(size * 0x9E37)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+            counts += np.bincount(doc[:m][ok] * DIM + h, minlength=n * DIM)
+        np.add.at(out, owner, counts.reshape(n, DIM))
+    out = np.sqrt(out)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def lettered(texts) -> np.ndarray:
     """Whether each text has a letter of any script; only texts without an ASCII letter are decoded for it."""
-    data, offsets = tk.lay_out(texts)
-    sums = np.concatenate(([0], np.cumsum((_FOLD[data] < 128) & (_FOLD[data] != 32))))
-    out = sums[offsets[1:]] > sums[offsets[:-1]]
-    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)).tolist():
-        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "ignore"))
+    out = np.zeros(len(texts), bool)
+    for owner, data, offsets in tk.parts(texts):
+        sums = np.concatenate(([0], np.cumsum((_FOLD[data] < 128) & (_FOLD[data] != 32))))
+        found = sums[offsets[1:]] > sums[offsets[:-1]]
+        for i in np.flatnonzero(~found & (np.diff(offsets) > 0)).tolist():
+            found[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "ignore"))
+        out[owner[found]] = True
     return out
 
 
@@ -125,13 +132,13 @@ def train(docs: DataFrame, per_language: int = 1000) -> LanguageModel | None:
     chosen = staged.put(given.join(picked, ["doc_id", "lang", "_t"]).dropDuplicates(["doc_id", "lang", "_t"]).select("doc_id", "lang", "text"))
 
     def run(frames):
-        for part in tk.batches(frames, 1 << 20):
-            yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "x": [r.astype(np.float16).tobytes() for r in ngrams(part["text"])]})
+        for part in tk.batches(frames):
+            yield pd.DataFrame({"lang": part["lang"], "x": [r.astype(np.float16).tobytes() for r in ngrams(part["text"])]})
 
-    rows = chosen.mapInPandas(run, "doc_id long, lang string, x binary").toPandas()
+    rows = chosen.mapInPandas(run, "lang string, x binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values(["doc_id", "lang", "x"])
+    rows = rows.sort_values(["lang", "x"])
     names = sorted(rows["lang"].unique())
     x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(len(rows), DIM).astype(np.float32)
     return fit(x, np.searchsorted(names, rows["lang"].to_numpy()), names)
@@ -142,7 +149,11 @@ def identify_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
 
     Texts that are null or have no letter get 'und', score 0 and ambiguous
     true, and so do all texts where nothing can be learned. Needs lang, which
-    is used for training alone.
+    is used for training alone; rows without an id, a text or a lang are not
+    learned from. Of two languages with equal loss the first by name is taken,
+    and the row is flagged as ambiguous. Equal texts have equal predictions,
+    repeated rows a row each; a text of any length counts whole. An empty table
+    gives no rows.
     """
     model = train(docs, per_language)
     own = docs.drop("held_out", "lang_pred", "score", "ambiguous")
@@ -157,7 +168,9 @@ def identify_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
             found[at] = np.array(model.names, dtype=object)[best]
         return {"lang_pred": found, "score": score, "ambiguous": near}
 
-    return tk.append(own, {"lang_pred": pa.string(), "score": pa.float64(), "ambiguous": pa.bool_()}, make, 1 << 20).withColumn("held_out", remainder(4) == 2)
+    added = {"lang_pred": pa.string(), "score": pa.float64(), "ambiguous": pa.bool_()}
+    # a row has DIM counts: so many rows at a time
+    return tk.append(own, added, make, rows=256).withColumn("held_out", remainder(4) == 2)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

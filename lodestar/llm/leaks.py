@@ -3,10 +3,11 @@
 Each block of training texts is one shard. Its words become numbers of the
 benchmark's vocabulary (0: not in it), and the suffixes that can match at all,
 those whose first two words stand together in the benchmark, are sorted into
-a sparse suffix array. Every suffix of every benchmark text is then located by
-binary search: its longest verbatim match and the places of all matches of a
-whole window. Suffixes are sorted by their first `window` words; matches of a
-whole window that follow each other are then joined to their full length.
+a sparse suffix array. Every benchmark suffix that begins with two words of the
+shard is then located by binary search: its longest verbatim match and the
+places of all matches of a whole window. Suffixes are sorted by their first
+`window` words; matches of a whole window that follow each other are then
+joined to their full length.
 Shards are independent, so nothing is shuffled and the work grows with the
 training text alone.
 
@@ -31,39 +32,46 @@ SPAN = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("text_word"
 
 
 class Suffixes:
-    """One block of benchmark texts: its vocabulary, word pairs, and all suffixes cut to `window` words."""
+    """One block of benchmark texts: its vocabulary and the numbers of its words, each suffix being a place in them, in the order of their first two words."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        hashes, bounds = tk.word_hashes([t for _, t in items], tk.ALNUM)
         self.window, self.names = window, [i for i, _ in items]
-        self.vocabulary, code = np.unique(hashes, return_inverse=True)
-        code = code.astype(np.int64) + 1
-        pad = np.concatenate((code, np.zeros(window, np.int64)))
-        length = np.diff(bounds)
-        item = np.repeat(np.arange(len(items)), length)
-        place = np.arange(len(code)) - bounds[:-1][item]
-        left = length[item] - place
-        width = np.minimum(left, window)
-        grid = pad[np.arange(len(code))[:, None] + np.arange(window)]
-        grid[np.arange(window) >= width[:, None]] = 0
+        each = [tk.word_hashes([t], tk.ALNUM)[0] for _, t in items]
+        length = np.array([len(e) for e in each], np.int64)
+        self.vocabulary, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
+        n = len(code)
+        self.code = np.concatenate((code.astype(np.int32) + 1, np.zeros(window + 1, np.int32)))
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), length)
+        first = np.cumsum(length) - length
+        self.place = (np.arange(n) - first[self.item]).astype(np.int32)
+        left = (length[self.item] - self.place).astype(np.int32)
+        self.width = np.minimum(left, window)
         # a window is whole at every start with `window` words left, or is a shorter item itself
-        whole = (left >= window) | ((place == 0) & (length[item] < window))
-        self.rows, self.item, self.place, self.width, self.whole = grid, item, place, width, whole
+        self.whole = (left >= window) | ((self.place == 0) & (length[self.item] < window))
         self.v = len(self.vocabulary) + 1
-        self.pairs = np.unique(grid[:, 0] * self.v + (grid[:, 1] if window > 1 else 0)) if len(grid) else np.zeros(0, np.int64)
-        self.singles = np.unique(grid[width == 1, 0]) if len(grid) else np.zeros(0, np.int64)
+        pair = self.pair_of(self.code[:n], np.where(self.width > 1, self.code[1 : n + 1], 0))
+        self.order = np.argsort(pair, kind="stable").astype(np.int32)
+        self.pairs, self.first = np.unique(pair[self.order], return_index=True)
+        self.first = np.append(self.first, n)
+
+    def pair_of(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return one.astype(np.int64) * self.v + two
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
+            return np.zeros(len(hashes), np.int32)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
+
+    def grid(self, at: np.ndarray) -> np.ndarray:
+        """The first `window` words of the suffixes at these places; 0 after an item's end."""
+        out = self.code[at[:, None] + np.arange(self.window)]
+        out[np.arange(self.window) >= self.width[at][:, None]] = 0
+        return out
 
 
-def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+#: Suffixes that are compared at a time, of either side.
+_STEP = 1 << 16
 
 
 def _keys(grid: np.ndarray) -> np.ndarray:
@@ -72,62 +80,91 @@ def _keys(grid: np.ndarray) -> np.ndarray:
     return wide.view(f"S{4 * grid.shape[1]}").reshape(-1)
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the rows begin with alike."""
+    differ = (a != b) | (a == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
 def search(suffixes: Suffixes, texts) -> list[tuple[int, np.ndarray, list[int], np.ndarray, int]]:
-    """Per text: words, hit mask, items with an occurring window, (item, item word, text word, words) of the matches that no longer one holds, longest match in words."""
+    """Per text: words, hit mask, items with an occurring window, (item, item word, text word, words) of the matches that no longer one holds, longest match in words.
+
+    The texts' suffixes are taken _STEP at a time; each step is one small
+    suffix array, in which the benchmark's suffixes are located.
+    """
     hashes, bounds = tk.word_hashes(texts, tk.ALNUM)
     w = suffixes.window
     code = suffixes.codes(hashes)
     n = len(code)
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    ends = bounds[1:][text] if n else np.zeros(0, np.int64)
-    follow = np.concatenate((code[1:], [0])) if n else code
-    follow = np.where(np.arange(1, n + 1) < ends, follow, 0)
-    able = (code > 0) & (_member(suffixes.pairs, code * suffixes.v + follow) | _member(suffixes.singles, code))
-    starts = np.flatnonzero(able)
-    counts = [(int(m), np.zeros(int(m), bool), [], np.zeros((0, 4), np.int64), 0) for m in np.diff(bounds)]
-    if not len(starts) or not len(suffixes.rows):
-        return counts
-    pad = np.concatenate((code, np.zeros(w, np.int64)))
-    grid = pad[starts[:, None] + np.arange(w)]
-    grid[starts[:, None] + np.arange(w) >= ends[starts][:, None]] = 0
-    order = np.lexsort(grid.T[::-1])
-    starts, grid = starts[order], grid[order]
-    array = _keys(grid)
-    lo = np.searchsorted(array, _keys(suffixes.rows), side="left")
-    # the end of the range: the first suffix beyond every continuation of the window
-    beyond = suffixes.rows.copy()
-    beyond[np.arange(w) >= suffixes.width[:, None]] = 0xFFFFFFFE
-    hi = np.searchsorted(array, _keys(beyond), side="right")
-    longest = np.zeros(len(suffixes.rows), np.int64)
-    best_at = np.zeros(len(suffixes.rows), np.int64)
-    for near in (np.minimum(lo, len(starts) - 1), np.maximum(lo - 1, 0)):
-        same = (grid[near] == suffixes.rows) & (suffixes.rows > 0)
-        length = np.cumprod(same, axis=1).sum(axis=1)
-        better = length > longest
-        longest[better], best_at[better] = length[better], near[better]
-    best = np.zeros(len(texts), np.int64)
-    np.maximum.at(best, text[starts[best_at]], longest)
-    found = np.flatnonzero(suffixes.whole & (hi > lo))
-    size = (hi - lo)[found]
-    which = np.repeat(found, size)
-    at = starts[np.repeat(lo[found] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-    delta = np.zeros(n + 1, np.int64)
+    del hashes
+    out = [(int(m), np.zeros(int(m), bool), [], np.zeros((0, 4), np.int64), 0) for m in np.diff(bounds)]
+    if not n or not len(suffixes.pairs):
+        return out
+    last = np.zeros(n + 1, bool)  # the last words of texts
+    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    best = np.zeros(len(out), np.int64)
+    located = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    pad = np.concatenate((code, np.zeros(w, np.int32)))
+    for a in range(0, n, _STEP):
+        b = min(a + _STEP, n)
+        # a suffix can match where its first two words stand together in the benchmark, or its first one ends an item
+        one, two = pad[a:b], np.where(last[a:b], 0, pad[a + 1 : b + 1])
+        spot = np.flatnonzero(one > 0)
+        pair = np.concatenate((suffixes.pair_of(one[spot], two[spot]), suffixes.pair_of(one[spot], np.zeros(len(spot), np.int64))))
+        known = np.minimum(np.searchsorted(suffixes.pairs, pair), len(suffixes.pairs) - 1)
+        same = suffixes.pairs[known] == pair
+        mask = same[: len(spot)] | same[len(spot) :]
+        able = spot[mask]
+        if not len(able):
+            continue
+        starts = a + able
+        wanted = np.unique(known[same])
+        end = bounds[np.searchsorted(bounds, starts, side="right")]
+        grid = pad[starts[:, None] + np.arange(w)]
+        grid[starts[:, None] + np.arange(w) >= end[:, None]] = 0
+        order = np.lexsort(grid.T[::-1])
+        starts, grid = starts[order], grid[order]
+        array = _keys(grid)
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        size = suffixes.first[wanted + 1] - suffixes.first[wanted]
+        queries = suffixes.order[np.repeat(suffixes.first[wanted] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        for q in np.array_split(queries, -(-len(queries) // _STEP)):
+            rows, width = suffixes.grid(q), suffixes.width[q]
+            lo = np.searchsorted(array, _keys(rows), side="left")
+            # the end of the range: the first suffix beyond every continuation of the window
+            beyond = rows.astype(np.int64)
+            beyond[np.arange(w) >= width[:, None]] = 0xFFFFFFFE
+            hi = np.searchsorted(array, _keys(beyond), side="right")
+            # a suffix's longest match stands next to its own place among the benchmark's, of which `same_as` has the words in order
+            ranks = np.lexsort(rows.T[::-1])
+            same_as = rows[ranks]
+            spot = np.searchsorted(_keys(same_as), array)
+            for near in (np.minimum(spot, len(q) - 1), np.maximum(spot - 1, 0)):
+                np.maximum.at(best, text, _common(grid, same_as[near]))
+            found = np.flatnonzero(suffixes.whole[q] & (hi > lo))
+            size = (hi - lo)[found]
+            located.append((np.repeat(q[found], size), starts[np.repeat(lo[found] - np.cumsum(size) + size, size) + np.arange(size.sum())]))
+    which, at = (np.concatenate(x) for x in zip(*located))
+    delta = np.zeros(n + 1, np.int32)
     np.add.at(delta, at, 1)
     np.add.at(delta, at + suffixes.width[which], -1)
     hit = np.cumsum(delta)[:-1] > 0
-    spots = _extended(suffixes.item[which], suffixes.place[which], at, suffixes.width[which], ends)
-    owner = text[spots[:, 2]]
+    text = np.searchsorted(bounds, at, side="right") - 1
+    spots = _extended(suffixes.item[which].astype(np.int64), suffixes.place[which].astype(np.int64), at, suffixes.width[which].astype(np.int64), text)
+    owner = np.searchsorted(bounds, spots[:, 2], side="right") - 1
     by = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[by], np.arange(len(texts) + 1))
-    out = []
+    cut = np.searchsorted(owner[by], np.arange(len(out) + 1))
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         mine = spots[by[cut[i] : cut[i + 1]]]
         mine[:, 2] -= a
-        out.append((b - a, hit[a:b], np.unique(mine[:, 0]).tolist(), mine, max(int(best[i]), int(mine[:, 3].max()) if len(mine) else 0)))
+        if len(mine):
+            out[i] = (b - a, hit[a:b], np.unique(mine[:, 0]).tolist(), mine, max(int(best[i]), int(mine[:, 3].max())))
+        else:
+            out[i] = (b - a, hit[a:b], [], mine, int(best[i]))
     return out
 
 
-def _extended(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _extended(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.ndarray, text: np.ndarray) -> np.ndarray:
     """(item, item word, text word, words) of the maximal matches behind all located windows, sorted by item and diagonal.
 
     Windows of one match stand on one diagonal (text word - item word) at
@@ -136,9 +173,9 @@ def _extended(item: np.ndarray, place: np.ndarray, at: np.ndarray, width: np.nda
     beyond that no word agrees, or the next window would stand there too.
     """
     order = np.lexsort((place, at - place, item))
-    item, place, at, width = item[order], place[order], at[order], width[order]
+    item, place, at, width, text = item[order], place[order], at[order], width[order], text[order]
     first = np.ones(len(item), bool)
-    first[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1) | (ends[at[1:]] != ends[at[:-1]])
+    first[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
     a = np.flatnonzero(first)
     b = np.append(a[1:], len(item)) - 1 if len(a) else a
     return np.stack((item[a], place[a], at[a], at[b] + width[b] - at[a]), axis=1)
@@ -172,8 +209,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     n_words).
 
     Null or wordless texts and items match nothing; an item without an id is
-    ignored; an id with several texts counts as one item. Columns of docs with
-    the added names are replaced.
+    ignored; an id with several texts counts as one item, repeated items as
+    one. Repeated documents get a row each. Texts may have any length: their
+    suffixes are sorted _STEP at a time. An empty benchmark hits nothing, an
+    empty table gives no rows. The benchmark is sent to the tasks `block_bytes`
+    at a time, and every block is a pass over docs. Columns of docs with the
+    added names are replaced.
     """
     own = docs.drop("n_words", "n_hit", "items", "spans", "longest", "contaminated", "_hits")
     added = {"n_words": pa.int64(), "_hits": pa.binary(), "items": pa.list_(pa.string()), "spans": pa.list_(SPAN), "longest": pa.int64()}
@@ -188,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
             found = search(suffixes, piece.column("text"))
             spans = [[dict(zip(("item", "item_word", "text_word", "words"), (suffixes.names[j], *more))) for j, *more in r[3].tolist()] for r in found]
             if "_hits" not in piece.schema.names:
-                return {"n_words": [r[0] for r in found], "_hits": [np.packbits(r[1]).tobytes() for r in found], "items": [sorted(suffixes.names[j] for j in r[2]) for r in found], "spans": spans, "longest": [r[4] for r in found]}
+                return {"n_words": [r[0] for r in found], "_hits": [np.packbits(r[1]).tobytes() for r in found], "items": [sorted({suffixes.names[j] for j in r[2]}) for r in found], "spans": spans, "longest": [r[4] for r in found]}
             before = [piece.column(c).to_pylist() for c in ("_hits", "items", "spans", "longest")]
             hits = [np.packbits(r[1]) | np.frombuffer(b, np.uint8) for r, b in zip(found, before[0])]
             return {
@@ -204,11 +245,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     now, n, staged = own, 0, Staged(docs.sparkSession, "leaks")
     for block in _blocks(benchmark, block_bytes):
         n += 1
-        now = tk.append(now if n == 1 else staged.put(now), added, scan(block), 8 << 20)
+        now = tk.append(now if n == 1 else staged.put(now), added, scan(block))
     if not n:
-        now = tk.append(now, added, scan([]), 8 << 20)
+        now = tk.append(now, added, scan([]))
     # bits past the text's last word are never set
-    out = tk.append(now, {"n_hit": pa.int64()}, lambda piece: {"n_hit": [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in piece.column("_hits").to_pylist()]}, 64 << 20, without=("_hits",))
+    out = tk.append(now, {"n_hit": pa.int64()}, lambda piece: {"n_hit": [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in piece.column("_hits").to_pylist()]}, without=("_hits",))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

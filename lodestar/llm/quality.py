@@ -24,6 +24,11 @@ STATS = (
     "non_ascii", "lines", "line_len", "repeat_lines", "repeat_words", "top_word", "stops", "ends", "entropy", "capital_words", "symbol_words",
 )
 
+def _named(statistic: str) -> str:
+    """The statistic's column name, which no column of a caller's table is taken to have."""
+    return f"_statistic_{statistic}"
+
+
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = 1
 _CLASS[65:91] = 2
@@ -35,58 +40,79 @@ _CLASS[[32, 9, 10, 11, 12, 13]] = 7
 _CLASS[128:] = 8
 
 
-def statistics(texts) -> np.ndarray:
-    """One row of STATS for each text, from its whole bytes."""
-    data, offsets = tk.lay_out(texts)
+_LINE = np.ones(256, bool)
+_LINE[[10, 13]] = False
+_ENDS = np.frombuffer(b".!?,;:", np.uint8)
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray):
+    """Of each part: its bytes by value, seven sums over its words, and the hashes of its words and lines with their bounds."""
     n = len(offsets) - 1
-    out = np.zeros((n, len(STATS)))
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
-    hist = np.bincount(doc * 256 + data, minlength=n * 256).reshape(n, 256)
-    kinds = np.zeros((n, 9))
-    for k in range(9):
-        kinds[:, k] = hist[:, _CLASS == k].sum(axis=1)
-    some = np.maximum(size, 1)
-    letters = np.maximum(kinds[:, 1] + kinds[:, 2] + kinds[:, 8], 1)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    hist = np.bincount(doc * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)
     starts, ends, bounds = tk.words(data, offsets, tk.NON_SPACE)
-    count = np.diff(bounds)
-    words = np.maximum(count, 1)
     length = ends - starts
-    owner = np.repeat(np.arange(n), count)
     lower = tk.LOWER[data]
     h, down = tk.prefix_hash(lower)
-    hashes = tk.slice_hash(h, down, starts, ends)
-    per = lambda mask: np.bincount(owner, weights=mask.astype(float), minlength=n)[:n] if len(owner) else np.zeros(n)
-    out[:, 0], out[:, 1] = np.log1p(size), np.log1p(count)
-    out[:, 2] = per(length) / words
-    out[:, 3], out[:, 4] = per(length > 12) / words, per(length < 4) / words
+    caps = np.concatenate(([0], np.cumsum((data >= 65) & (data <= 90))))
+    odd = np.concatenate(([0], np.cumsum(np.isin(_CLASS[data], (5, 6)))))
+    last = lower[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    each = (np.ones(len(starts)), length, length > 12, length < 4, np.isin(last, _ENDS), (caps[ends] - caps[starts]) * 2 > length, odd[ends] > odd[starts])
+    sums = np.zeros((n, len(each)))
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    for k, x in enumerate(each):
+        sums[:, k] = np.bincount(owner, weights=x.astype(float), minlength=n)
+    ls, le, lb = tk.words(data, offsets, _LINE)
+    return hist, sums, tk.slice_hash(h, down, starts, ends), bounds, tk.slice_hash(h, down, ls, le), lb
+
+
+def statistics(texts) -> np.ndarray:
+    """One row of STATS for each text, from its whole bytes.
+
+    A text of over tk.CHUNK bytes is counted part by part and its sums are
+    added up, so no more than its word and line hashes is held at once; a word
+    or line over a part's end counts as two.
+    """
+    n = len(texts)
+    hist, sums, shares = np.zeros((n, 256)), np.zeros((n, 7)), np.zeros((n, 3))
+    held: dict[int, tuple[list, list]] = {}
+
+    def shares_of(words: np.ndarray, lines: np.ndarray) -> tuple[float, float, float]:
+        _, c = np.unique(words, return_counts=True)
+        return (1 - len(np.unique(lines)) / len(lines) if len(lines) else 0.0, 1 - len(c) / len(words) if len(words) else 0.0, c.max() / len(words) if len(words) else 0.0)
+
+    for owner, data, offsets in tk.parts(texts):
+        h, s, wh, wb, lh, lb = _counts(data, offsets)
+        np.add.at(hist, owner, h)
+        np.add.at(sums, owner, s)
+        whole = data.nbytes <= tk.CHUNK and len(owner) > 1
+        for k, i in enumerate(owner.tolist()):
+            mine = wh[wb[k] : wb[k + 1]], lh[lb[k] : lb[k + 1]]
+            if whole and i not in held and not (k + 1 == len(owner) or k == 0):
+                shares[i] = shares_of(*mine)
+            else:  # may go on in the next part
+                words, lines = held.setdefault(i, ([], []))
+                words.append(mine[0])
+                lines.append(mine[1])
+        for i in [i for i in held if i < owner[-1]]:
+            shares[i] = shares_of(*(np.concatenate(x) for x in held.pop(i)))
+    for i, x in held.items():
+        shares[i] = shares_of(*(np.concatenate(y) for y in x))
+    size = hist.sum(axis=1)
+    kinds = np.stack([hist[:, _CLASS == k].sum(axis=1) for k in range(9)], axis=1)
+    some, words, lines = np.maximum(size, 1), np.maximum(sums[:, 0], 1), hist[:, 10] + 1
+    letters = np.maximum(kinds[:, 1] + kinds[:, 2] + kinds[:, 8], 1)
+    out = np.zeros((n, len(STATS)))
+    out[:, 0], out[:, 1] = np.log1p(size), np.log1p(sums[:, 0])
+    out[:, 2], out[:, 3], out[:, 4] = (sums[:, k] / words for k in (1, 2, 3))
     out[:, 5], out[:, 6] = kinds[:, 2] / letters, kinds[:, 3] / some
     out[:, 7], out[:, 8], out[:, 9], out[:, 10], out[:, 11] = (kinds[:, k] / some for k in (4, 5, 6, 7, 8))
-    lines = hist[:, 10] + 1
     out[:, 12], out[:, 13] = np.log1p(lines), np.log1p(size / lines)
-    line = np.zeros(256, bool)
-    line[:] = True
-    line[[10, 13]] = False
-    ls, le, lb = tk.words(data, offsets, line)
-    lh = tk.slice_hash(h, down, ls, le)
-    for i in range(n):
-        a, b = lb[i], lb[i + 1]
-        if b > a:
-            out[i, 14] = 1 - len(np.unique(lh[a:b])) / (b - a)
-        a, b = bounds[i], bounds[i + 1]
-        if b > a:
-            _, c = np.unique(hashes[a:b], return_counts=True)
-            out[i, 15], out[i, 16] = 1 - len(c) / (b - a), c.max() / (b - a)
-    stop = (hist[:, 46] + hist[:, 33] + hist[:, 63]) / words
-    out[:, 17] = stop
-    last = lower[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-    out[:, 18] = per(np.isin(last, np.frombuffer(b".!?,;:", np.uint8))) / words
+    out[:, 14:17] = shares
+    out[:, 17] = (hist[:, 46] + hist[:, 33] + hist[:, 63]) / words
     share = hist / some[:, None]
     out[:, 19] = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
-    caps = np.concatenate(([0], np.cumsum((data >= 65) & (data <= 90))))
-    odd = np.concatenate(([0], np.cumsum(np.isin(_CLASS[data], (5, 6)))))
-    out[:, 20] = per((caps[ends] - caps[starts]) * 2 > length) / words
-    out[:, 21] = per(odd[ends] > odd[starts]) / words
+    out[:, 18], out[:, 20], out[:, 21] = (sums[:, k] / words for k in (4, 5, 6))
     return out
 
 
@@ -105,7 +131,8 @@ class Rule:
     def column(self) -> Column:
         out = None
         for f, s, t in self.terms:
-            c = F.col(STATS[f]) > F.lit(float(t)) if s > 0 else F.col(STATS[f]) <= F.lit(float(t))
+            value = F.col(_named(STATS[f]))
+            c = value > F.lit(float(t)) if s > 0 else value <= F.lit(float(t))
             out = c if out is None else out & c
         return out
 
@@ -200,27 +227,34 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """Every column of docs but its own columns named like a statistic, and the statistics of the whole text."""
-    return tk.append(docs.drop(*STATS), dict.fromkeys(STATS, pa.float64()), lambda piece: dict(zip(STATS, statistics(piece.column("text")).T)), 2 << 20)
+    """Every column of docs, and the statistics of the whole text under the names in `_named`."""
+    return tk.append(docs, dict.fromkeys(map(_named, STATS), pa.float64()), lambda piece: dict(zip(map(_named, STATS), statistics(piece.column("text")).T)))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> RuleModel:
     """Fits on at most `limit` labelled rows, whose statistics (not texts) come to the driver."""
-    rows = with_statistics(sample(docs, labels, "quality", 3, 1, limit, Staged(docs.sparkSession, "quality"))).drop("text").toPandas()
-    rows = rows.sort_values(["doc_id", *STATS])
-    return fit_rules(rows[list(STATS)].to_numpy(), rows["label"].to_numpy(dtype=float))
+    rows = with_statistics(sample(docs, labels, "quality", 3, 1, limit, Staged(docs.sparkSession, "quality"))).drop("text", "doc_id").toPandas()
+    names = [_named(s) for s in STATS]
+    rows = rows.sort_values([*names, "label"])
+    return fit_rules(rows[names].to_numpy(), rows["label"].to_numpy(dtype=float))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> DataFrame:
-    """Every column of docs but those named below or like a statistic, and held_out, score, predicted.
-
-    score is the probability of label 1. The model sees the text alone; null
-    and empty texts are scored as texts without words. Without usable labels,
-    or with only one value, the score is the smoothed share of 1.
+    """Every column of docs but those named held_out, score and predicted, and these.
+
+    score is the probability of label 1, predicted 1 from a score of 0.5 on.
+    The model sees the text alone; null and empty texts are scored as texts
+    without words, texts of any length by all their bytes (part by part above
+    tk.CHUNK). Equal texts have equal scores, repeated rows a row each. An id
+    with two different labels is no training row, and where more than `limit`
+    rows are labelled those with the smallest hash of the id are taken. Without
+    usable labels, or with only one value, the score is the smoothed share of
+    1. An empty table gives no rows.
     """
     model = train(docs, labels, limit)
-    rows = with_statistics(docs.drop("held_out", "score", "predicted")).withColumn("score", model.score()).drop(*STATS)
-    return rows.withColumn("held_out", remainder(3) == 1).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    own = docs.drop("held_out", "score", "predicted")
+    rows = with_statistics(own).withColumn("score", model.score())
+    return rows.select(*own.columns, (remainder(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

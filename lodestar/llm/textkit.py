@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from .store import small_batches
+
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
 _GROW = 1 << 16
+#: Bytes that the kernels work on at a time; their temporaries take about 40 times as many.
+CHUNK = 1 << 20
 
 
 def _table(seed: int) -> np.ndarray:
@@ -127,15 +131,79 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _long_run_hashes(data: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """The word hashes of one text of any length, CHUNK bytes at a time; a word that goes on into the next chunk is carried over."""
+    base, found, total, length = 0x5851F42D4C957F2D | 1, [], 0, 0
+    close = lambda: mix(np.array([total + length * int(_MULT) & (1 << 64) - 1], np.uint64))
+    for a in range(0, len(data), CHUNK):
+        part = LOWER[data[a : a + CHUNK]]
+        starts, ends, _ = words(part, np.array([0, len(part)]), member)
+        h, down = prefix_hash(part)
+        if length and not (len(starts) and starts[0] == 0):
+            found.append(close())
+            total = length = 0
+        if len(starts) and length:  # the open word's next bytes
+            total = (total + int(h[ends[0]]) * pow(base, length, 1 << 64)) & (1 << 64) - 1
+            length += int(ends[0])
+            if ends[0] == len(part):
+                continue
+            found.append(close())
+            total, length, starts, ends = 0, 0, starts[1:], ends[1:]
+        if len(ends) and ends[-1] == len(part):
+            s = int(starts[-1])
+            total, length = int(((h[-1:] - h[s : s + 1]) * down[s : s + 1])[0]), len(part) - s
+            starts, ends = starts[:-1], ends[:-1]
+        found.append(slice_hash(h, down, starts, ends))
+    if length:
+        found.append(close())
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def word_hashes(texts, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lower-cased (A-Z) words of the texts, and each text's offsets into them."""
     data, offsets = lay_out(texts)
+    if len(data) > 4 * CHUNK:
+        each = [_long_run_hashes(data[a:b], member) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.concatenate([np.zeros(0, np.uint64), *each]), np.concatenate(([0], np.cumsum([len(e) for e in each], dtype=np.int64)))
     data = LOWER[data]
     starts, ends, bounds = words(data, offsets, member)
     h, down = prefix_hash(data)
     return slice_hash(h, down, starts, ends), bounds
 
 
+def parts(texts, rows: int = 512):
+    """(text of each part, bytes, offsets) of groups of parts, at most CHUNK bytes and `rows` parts each.
+
+    A part is a whole text, or a stretch of one of over CHUNK bytes, cut after
+    its last line end or else white space, or in a word of over CHUNK / 2 bytes
+    where a character ends.
+    """
+    data, offsets = lay_out(texts)
+    cuts = [offsets]
+    for i in np.flatnonzero(np.diff(offsets) > CHUNK).tolist():
+        a, end, own = int(offsets[i]), int(offsets[i + 1]), []
+        while end - a > CHUNK:
+            tail = data[a + CHUNK // 2 : a + CHUNK]
+            for mask in (tail == 10, ~NON_SPACE[tail], (data[a + CHUNK // 2 + 1 : a + CHUNK + 1] & 0xC0) != 0x80):
+                if mask.any():
+                    a += CHUNK - int(np.argmax(mask[::-1]))
+                    break
+            else:
+                a += CHUNK
+            own.append(a)
+        cuts.append(np.asarray(own, np.int64))
+    offs = np.sort(np.concatenate(cuts), kind="stable")
+    owner = np.searchsorted(offsets, offs[:-1], side="right") - 1
+    empty = np.diff(offs) == 0
+    if empty.any():  # empty texts share an offset: the k-th of them is the k-th text there
+        owner[empty] = np.flatnonzero(np.diff(offsets) == 0)
+    i = 0
+    while i < len(owner):
+        j = min(max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK, side="right")) - 1), i + rows, len(owner))
+        yield owner[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        i = j
+
+
 def combine(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of a sequence of equally long hash arrays, order-sensitive."""
     out = np.full(len(parts[0]), U64(0x243F6A8885A308D3) ^ U64(len(parts)), dtype=np.uint64)
@@ -148,7 +216,10 @@ def shingle_sets(texts, size: int, member: np.ndarray = NON_SPACE) -> list[np.nd
     """Each text's sorted distinct word shingles; fewer words than `size` make one shingle, none make none."""
     hashes, bounds = word_hashes(texts, member)
     n = len(hashes)
-    full = combine([hashes[i : n - size + 1 + i] for i in range(size)]) if n >= size else np.zeros(0, np.uint64)
+    full = np.zeros(max(0, n - size + 1), np.uint64)
+    for a in range(0, len(full), CHUNK):
+        b = min(a + CHUNK, len(full))
+        full[a:b] = combine([hashes[a + i : b + i] for i in range(size)])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= size:
@@ -161,26 +232,31 @@ def shingle_sets(texts, size: int, member: np.ndarray = NON_SPACE) -> list[np.nd
     return out
 
 
-def pieces(batches, limit: int = 4 << 20, column: str = "text"):
-    """Cuts Arrow batches so that a piece holds about `limit` bytes of text; a long text stands alone."""
+def pieces(batches, limit: int = CHUNK, column: str = "text", rows: int = 2048):
+    """Cuts Arrow batches so that a piece holds about `limit` bytes of text and `rows` rows at most; a long text stands alone."""
     for batch in batches:
-        group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        long = size > limit
+        group = np.cumsum(np.where(long, 0, size)) // limit + np.arange(len(size)) // rows
+        # a long text parts the rows before and after it
+        new = (np.diff(group) > 0) | long[1:] | long[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(size)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
-def append(docs: DataFrame, added: dict[str, pa.DataType], make, limit: int = 4 << 20, without: tuple[str, ...] = ()) -> DataFrame:
+def append(docs: DataFrame, added: dict[str, pa.DataType], make, limit: int = CHUNK, without: tuple[str, ...] = (), rows: int = 2048) -> DataFrame:
     """docs with the columns of make(piece), a dict of values by name, in place of its own columns of these names and those of `without`.
 
     The other columns pass as Arrow arrays and are never converted, whatever
     their types and nulls.
     """
     names = [c for c in docs.columns if c not in added and c not in without]
+    small_batches(docs.sparkSession)
 
     def run(batches):
-        for piece in pieces(batches, limit):
+        for piece in pieces(batches, limit, rows=rows):
             more = make(piece)
             columns = [piece.column(c) for c in names] + [pa.array(more[c], t) for c, t in added.items()]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
@@ -189,7 +265,7 @@ def append(docs: DataFrame, added: dict[str, pa.DataType], make, limit: int = 4
     return docs.mapInArrow(run, StructType(kept + [StructField(c, from_arrow_type(t)) for c, t in added.items()]))
 
 
-def batches(frames, limit: int = 4 << 20):
+def batches(frames, limit: int = CHUNK):
     """Like pieces, for pandas frames; a bounded sample of labelled rows is small enough for them."""
     for frame in frames:
         group = np.cumsum(frame["text"].str.len().fillna(0).to_numpy(dtype=np.int64)) // limit
