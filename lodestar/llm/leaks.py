@@ -216,8 +216,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     at a time, and every block is a pass over docs. Columns of docs with the
     added names are replaced.
     """
-    own = docs.drop("n_words", "n_hit", "items", "spans", "longest", "contaminated", "_hits")
-    added = {"n_words": pa.int64(), "_hits": pa.binary(), "items": pa.list_(pa.string()), "spans": pa.list_(SPAN), "longest": pa.int64()}
+    own = docs.drop("n_words", "n_hit", "items", "spans", "longest", "contaminated")
+    (hits_,) = tk.fresh(own.columns, "_hits")
+    added = {"n_words": pa.int64(), hits_: pa.binary(), "items": pa.list_(pa.string()), "spans": pa.list_(SPAN), "longest": pa.int64()}
 
     def scan(block: list[tuple[str, str]]):
         ready = []
@@ -228,13 +229,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
             suffixes = ready[0]
             found = search(suffixes, piece.column("text"))
             spans = [[dict(zip(("item", "item_word", "text_word", "words"), (suffixes.names[j], *more))) for j, *more in r[3].tolist()] for r in found]
-            if "_hits" not in piece.schema.names:
-                return {"n_words": [r[0] for r in found], "_hits": [np.packbits(r[1]).tobytes() for r in found], "items": [sorted({suffixes.names[j] for j in r[2]}) for r in found], "spans": spans, "longest": [r[4] for r in found]}
-            before = [piece.column(c).to_pylist() for c in ("_hits", "items", "spans", "longest")]
+            if hits_ not in piece.schema.names:
+                return {"n_words": [r[0] for r in found], hits_: [np.packbits(r[1]).tobytes() for r in found], "items": [sorted({suffixes.names[j] for j in r[2]}) for r in found], "spans": spans, "longest": [r[4] for r in found]}
+            before = [piece.column(c).to_pylist() for c in (hits_, "items", "spans", "longest")]
             hits = [np.packbits(r[1]) | np.frombuffer(b, np.uint8) for r, b in zip(found, before[0])]
             return {
                 "n_words": [r[0] for r in found],
-                "_hits": [h.tobytes() for h in hits],
+                hits_: [h.tobytes() for h in hits],
                 "items": [sorted({*old, *(suffixes.names[j] for j in r[2])}) for old, r in zip(before[1], found)],
                 "spans": [old + new for old, new in zip(before[2], spans)],
                 "longest": [max(old, r[4]) for old, r in zip(before[3], found)],
@@ -249,7 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: i
     if not n:
         now = tk.append(now, added, scan([]))
     # bits past the text's last word are never set
-    out = tk.append(now, {"n_hit": pa.int64()}, lambda piece: {"n_hit": [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in piece.column("_hits").to_pylist()]}, without=("_hits",))
+    out = tk.append(now, {"n_hit": pa.int64()}, lambda piece: {"n_hit": [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in piece.column(hits_).to_pylist()]}, without=(hits_,))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .store import Staged, table
 
 #: Weights of the contract query's tree; children that are not named weigh 1.
@@ -92,17 +93,19 @@ def mix(docs: DataFrame, fraction: float = 0.5, weights: dict | None = None, max
     spark = docs.sparkSession
     staged = Staged(spark, "mixing")
     weights = WEIGHTS if weights is None else weights
-    own = docs.drop("domain", "n_tokens", "epoch", "_lang", "_source")
-    rows = own.withColumns({"domain": domain_of(F.col("source")) if domain is None else domain, "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit("")), "n_tokens": tokens_of(F.col("text"))})
-    light = staged.put(rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "domain", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens"))
+    own = docs.drop("domain", "n_tokens", "epoch")
+    lang_, source_, dom_, lan_, sou_, whole_, last_ = tk.fresh([*own.columns, "domain", "n_tokens", "epoch"], "_lang", "_source", "_d", "_l", "_s", "_whole", "_last")
+    made = {"domain": domain_of(F.col("source")) if domain is None else domain, lang_: F.coalesce("lang", F.lit("")), source_: F.coalesce("source", F.lit("")), "n_tokens": tokens_of(F.col("text"))}
+    rows = own.withColumns(made)
+    light = staged.put(rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "domain", F.col(lang_).alias("lang"), F.col(source_).alias("source"), "n_tokens"))
     leaves = staged.put(light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     total = float(leaves.agg(F.sum("tokens")).first()[0] or 0) * fraction
     plan = staged.put(budgets(leaves, total, weights, max_epochs).select(*LEVELS, "tokens", "budget"))
     # a budget is a whole number of epochs and a rest; rounding noise of a full budget is no rest
     whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.lit(max_epochs))).otherwise(0).cast("int")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
-    key = lambda id_: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), id_).cast("binary"))
-    keyed = light.join(plan.select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("key", key(F.col("id"))).withColumn("slice", F.substring("key", 1, slices))
+    key = lambda id_, whole: F.md5(F.concat_ws("|", F.lit(str(seed)), whole.cast("string"), id_).cast("binary"))
+    keyed = light.join(plan.select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("key", key(F.col("id"), F.col("whole"))).withColumn("slice", F.substring("key", 1, slices))
     sums = keyed.groupBy(*LEVELS, "rest", "slice").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = staged.put(sums.withColumn("upto", F.sum("n").over(upto)))
@@ -113,11 +116,11 @@ def mix(docs: DataFrame, fraction: float = 0.5, weights: dict | None = None, max
     cut = staged.put(
         plan.join(edge.select(*LEVELS, "slice"), list(LEVELS), "left").join(fits, list(LEVELS), "left")
         # keys below the edge's slice compare below its digits; no edge: all fit
-        .select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "whole", F.when(F.col("rest") >= 1, F.coalesce("last", "slice", F.lit("g"))).otherwise("").alias("last"))
+        .select(*[F.col(c).alias(x) for c, x in zip(LEVELS, (dom_, lan_, sou_))], F.col("whole").alias(whole_), F.when(F.col("rest") >= 1, F.coalesce("last", "slice", F.lit("g"))).otherwise("").alias(last_))
     )
-    met = rows.join(cut.withColumnsRenamed({"_domain": "_d", "_lang": "_l", "_source": "_s"}), (F.col("domain") == F.col("_d")) & (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")))
-    part = key(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) <= F.col("last")
-    copies = F.col("whole") + part.cast("int")
+    met = rows.join(cut, (F.col("domain") == F.col(dom_)) & (F.col(lang_) == F.col(lan_)) & (F.col(source_) == F.col(sou_)))
+    part = key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(whole_)) <= F.col(last_)
+    copies = F.col(whole_) + part.cast("int")
     out = met.filter(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
     return out.select(*own.columns, "domain", "n_tokens", "epoch")
 

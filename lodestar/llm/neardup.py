@@ -12,8 +12,12 @@
 4. The shingle sets of each cluster's members meet once and are compared
    exactly; the links found (again a spanning forest) give the components.
 
-Buckets and clusters over a size are split into blocks, every pair of blocks
-being one unit of work, so no group has to fit one task and nothing is capped.
+In a bucket or cluster of over `block` members every member first meets one of
+them, the centre. Those that are near it are linked to it and to each other by
+that; only the others, the far ones, still have to meet all members. They do so
+in units, pairs of blocks with far members on one side at least, so no group
+has to fit one task, a large group of near copies costs no more than its size,
+and no link is lost.
 """
 
 from __future__ import annotations
@@ -138,7 +142,7 @@ def _sketch_links(similarity: float, k: int):
                     a.append(ids[x + i])
                     b.append(ids[x + j])
             if a:
-                yield pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)}).drop_duplicates()
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     return run
 
@@ -173,52 +177,81 @@ def _exact_links(percent: int):
                     a.append(ids[x + i])
                     b.append(ids[x + j])
             if a:
-                yield pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
+                yield pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def _units(rows: DataFrame, counts: DataFrame, block: int, staged: Staged) -> DataFrame:
-    """Gives rows their unit. counts (key, blocks) has the groups of more than one block; there every pair of blocks is a unit.
+def _sketch_near(similarity: float, k: int):
+    """Marks the rows whose sketch is near that of their centre."""
+    floor = sketch_floor(similarity, k)
 
-    A row of block i goes to the units {i, j} for every j. The table of large
-    groups is written first, so that Spark knows its size when it picks the join.
-    """
-    big = staged.put(counts.filter("blocks > 1"))
-    if not big.head(1):
-        return rows.withColumn("unit", F.lit(0).cast("long"))
-    parts = rows.join(big, "key", "left")
-    own = F.pmod(F.xxhash64("rep", F.lit(block)), F.col("blocks"))
-    pair = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
-    )
-    return parts.withColumn("unit", F.explode(pair)).drop("blocks")
+    def run(frames):
+        for frame in frames:
+            own, centre = (np.frombuffer(b"".join(frame[c]), np.uint64).reshape(len(frame), -1) for c in ("sketch", "c_sketch"))
+            s, t = frame["n"].to_numpy(), frame["c_n"].to_numpy()
+            near = (estimate(agreeing(own, centre), k) >= floor) & (np.minimum(s, t) >= similarity * np.maximum(s, t)) if len(frame) else np.zeros(0, bool)
+            yield frame.assign(near=near)
 
+    return run
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = 5,
-    percent: int = 80,
-    bands: int = 24,
-    rows: int = 4,
-    block: int = 2048,
-    block_bytes: int = 48 << 20,
-) -> DataFrame:
-    """Classes of documents linked by Jaccard similarity >= percent / 100 of their distinct `words`-word shingles.
 
-    Input: doc_id (integer) and text; other columns are ignored. Returns
-    doc_id, n_shingles, component_id (the smallest doc_id reachable over
-    links, its own included) and kept (doc_id = component_id), one row for
-    each input row.
+def _exact_near(percent: int):
+    """Marks the rows whose shingle set is near that of their centre."""
 
-    Null and empty texts and texts of white space have no shingles and no
-    links. A text of fewer words than a shingle has one shingle, all of it.
-    Rows that repeat a doc_id count as one document in each row's class. A
-    null doc_id gets a null class, is kept and links nothing.
+    def run(frames):
+        for frame in frames:
+            near = []
+            for own, centre in zip(frame["shingles"], frame["c_shingles"]):
+                x, y = np.frombuffer(own, np.uint64), np.frombuffer(centre, np.uint64)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                near.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield frame.drop(columns="c_shingles").assign(near=np.array(near, bool))
 
-    A pair at the threshold is missed by all bands with probability
-    (1 - s**rows)**bands, 3e-6 here, and by the sketch with 3e-7.
+    return run
+
+
+def _linked(rows: DataFrame, counts: DataFrame, compared: dict[str, str], near, links, block: int, staged: Staged) -> DataFrame:
+    """(a, b) links of a spanning forest within each key.
+
+    counts (key, blocks, centre) tells the groups of more than one block and
+    the member that is their centre; `compared` names the columns by which rows
+    are compared and what the centre's are called. Large groups are written
+    with their marks first, so that Spark knows their size when it joins.
     """
+    spark, n = rows.sparkSession, partitions(rows.sparkSession)
+    large = staged.put(counts.filter("blocks > 1"))
+    dealt = rows.select("key", "rep", *compared)
+    small = dealt
+    parts = []
+    if large.head(1):
+        small = dealt.join(large.select("key"), "key", "left_anti")
+        centres = staged.put(dealt.join(large.select("key", F.col("centre").alias("rep")), ["key", "rep"]).select("key", F.col("rep").alias("c_rep"), *[F.col(c).alias(x) for c, x in compared.items()]))
+        met = dealt.join(centres, "key")
+        kinds = dict(met.dtypes)
+        kept = ["key", "rep", "c_rep", *compared, *[x for x in compared.values() if x != "c_shingles"]]
+        marked = staged.put(met.select("key", "rep", "c_rep", *compared, *compared.values()).mapInPandas(near, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", near boolean"))
+        parts.append(marked.filter("near and rep != c_rep").select(F.col("rep").alias("a"), F.col("c_rep").alias("b")))
+        size = F.ceil(F.count(F.lit(1)) / F.lit(block))
+        sides = marked.groupBy("key", "near").agg(size.alias("blocks")).groupBy("key").agg(F.max(F.when(~F.col("near"), F.col("blocks"))).alias("far"), F.max(F.when(F.col("near"), F.col("blocks"))).alias("by"))
+        sides = staged.put(sides.filter("far is not null"))
+        own = F.when(F.col("near"), F.pmod(F.xxhash64("rep"), F.col("by"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("far")))
+        fars, bys = (F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("far", "by"))
+        # a unit is named by its far block and the other one, far blocks first
+        of_far = F.concat(F.transform(fars, lambda j: F.least(j, own) * (F.col("far") + F.col("by")) + F.greatest(j, own)), F.transform(bys, lambda j: own * (F.col("far") + F.col("by")) + F.col("far") + j))
+        of_near = F.transform(fars, lambda j: j * (F.col("far") + F.col("by")) + F.col("far") + own)
+        left = marked.join(sides, "key").withColumn("unit", F.explode(F.when(F.col("near"), of_near).otherwise(of_far)))
+        small = small.withColumn("unit", F.lit(-1).cast("long")).union(left.select("key", "rep", *compared, "unit"))
+    else:
+        small = small.withColumn("unit", F.lit(-1).cast("long"))
+    met = small.repartition(n, "key", "unit").sortWithinPartitions("key", "unit").mapInPandas(links, "a binary, b binary")
+    for p in parts:
+        met = met.union(p)
+    return met
+
+
+def _classes(docs: DataFrame, words: int, percent: int, bands: int, rows: int, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's id, hash and shingle set (id, th, doc_id, n, node), and the set's component (node, component)."""
     spark = docs.sparkSession
     staged = Staged(spark, "neardup")
     k = bands * rows
@@ -229,49 +262,97 @@ def near_duplicates(
         out = []
         for s in tk.shingle_sets(piece.column("text"), words):
             if not len(s):
-                out.append((0, None, None, None, None))
+                out.append((0, None, None, None))
                 continue
             m = minima(s, mult)
             keys = tk.combine([np.arange(bands, dtype=np.uint64), *m.reshape(bands, rows).T.astype(np.uint64)]).view(np.int64)
-            sums = np.array([s.sum(dtype=np.uint64), tk.mix(s * U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)]).view(np.int64)
-            out.append((len(s), int(sums[0]), int(sums[1]), pack((m & np.uint32(3))[None])[0].tobytes(), keys))
-        return dict(zip(("n", "f1", "f2", "sketch", "keys"), zip(*out)))
-
-    made = {"n": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "sketch": pa.binary(), "keys": pa.list_(pa.int64())}
-    signed = staged.put(tk.append(docs.select(F.col("doc_id").cast("long"), "text"), made, signatures, without=("text",)))
-    found = signed.filter("n > 0 and doc_id is not null")
-    reps = staged.put(found.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("keys", "doc_id").alias("keys")))
-    banded = reps.select("rep", "n", "sketch", F.explode("keys").alias("key"))
-
-    per_key = banded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    schema = "a long, b long"
-    loose = (
-        _units(banded, per_key, block, staged)
-        .repartition(partitions(spark), "key", "unit")
-        .sortWithinPartitions("key", "unit")
-        .mapInPandas(_sketch_links(percent / 100, k), schema)
-    )
+            node = np.array([s.sum(dtype=np.uint64) + U64(len(s)), tk.mix(s * U64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)]).tobytes()
+            out.append((len(s), node, pack((m & np.uint32(3))[None])[0].tobytes(), keys))
+        return dict(zip(("n", "node", "sketch", "keys"), zip(*out)))
+
+    made = {"n": pa.int64(), "node": pa.binary(), "sketch": pa.binary(), "keys": pa.list_(pa.int64())}
+    light = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull()).alias("id"), F.xxhash64("text").alias("th"), "text")
+    signed = staged.put(tk.append(light, made, signatures, without=("text",)))
+    sets = staged.put(signed.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("id").alias("id"), F.min("th").alias("th"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")))
+    banded = sets.select(F.col("node").alias("rep"), "n", "sketch", F.explode("keys").alias("key"))
+    per_key = banded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"), F.min("rep").alias("centre"))
+    loose = _linked(banded, per_key, {"n": "c_n", "sketch": "c_sketch"}, _sketch_near(percent / 100, k), _sketch_links(percent / 100, k), block, staged)
     clusters = components(loose, staged).withColumnRenamed("node", "rep").withColumnRenamed("component", "key")
 
-    def sets(piece):
+    def shingles(piece):
         return {"shingles": [s.tobytes() for s in tk.shingle_sets(piece.column("text"), words)]}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    members = tk.append(texts.join(clusters.hint("merge"), "rep"), {"shingles": pa.binary()}, sets, without=("text",))
-    weights = clusters.join(reps.select("rep", "n"), "rep").groupBy("key").agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes))).alias("blocks")
-    )
-    exact = (
-        _units(members, weights, block + 1, staged)
-        .repartition(partitions(spark), "key", "unit")
-        .sortWithinPartitions("key", "unit")
-        .mapInPandas(_exact_links(percent), schema)
-    )
-    linked = components(exact, staged).withColumnRenamed("node", "rep")
-    classes = reps.select("f1", "f2", "n", "rep").join(linked, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # one text of each set in a cluster: a row that carries it, found by id and hash
+    wanted = staged.put(clusters.join(signed.filter("n > 0").groupBy(F.col("node").alias("rep")).agg(F.min(F.struct("id", "th")).alias("at"), F.min("n").alias("n")), "rep").select("rep", "key", "n", "at.id", "at.th"))
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull()).alias("id"), F.xxhash64("text").alias("th"), "text")
+    found = texts.join(wanted.hint("merge"), ["id", "th"]).select("rep", "key", "text")
+    members = staged.put(tk.append(found, {"shingles": pa.binary()}, shingles, without=("text",)).dropDuplicates(["rep"]))
+    weights = wanted.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes))).alias("blocks"), F.min("rep").alias("centre"))
+    exact = _linked(members, weights, {"shingles": "c_shingles"}, _exact_near(percent), _exact_links(percent), block, staged)
+    linked = components(exact, staged)
+    return signed, staged.put(sets.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    bands: int = 24,
+    rows: int = 4,
+    block: int = 1024,
+    block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """Classes of documents linked by Jaccard similarity >= percent / 100 of their distinct `words`-word shingles.
+
+    Input: doc_id (of any type that can be ordered) and text; other columns
+    are ignored. Returns doc_id, n_shingles, component_id (the smallest doc_id
+    reachable over links, its own included) and kept (doc_id = component_id),
+    one row for each input row.
+
+    Null and empty texts and texts of white space have no shingles and no
+    links, their component is their own. A text of fewer words than a shingle
+    has one shingle, all of it. Texts may have any length. Rows are linked by
+    their texts: of two texts under one doc_id each belongs to its own class,
+    and equal rows to the same one. A null doc_id is never a component's, and
+    is kept where its component has no other. An empty table gives no rows.
+
+    A pair at the threshold is missed by all bands with probability
+    (1 - s**rows)**bands, 3e-6 here, and by the sketch with 3e-7.
+    """
+    signed, classes = _classes(docs, words, percent, bands, rows, block, block_bytes)
+    some = signed.filter("n > 0").select("doc_id", "n", "node").join(classes, "node")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    met = some.join(least, "component").select("doc_id", "n", "component_id")
+    out = met.union(signed.filter("n = 0").select("doc_id", "n", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+    """docs with one row of each class of near_duplicates, the one with the smallest doc_id (null last), then text hash.
+
+    Decisions are by row: rows alike in doc_id and text become one, with the
+    smallest values of the other columns, and another text under the same
+    doc_id is judged on its own. Rows without shingles all stay.
+    """
+    spark = docs.sparkSession
+    signed, classes = _classes(docs, words, percent, bands, rows, block, block_bytes)
+    staged = Staged(spark, "kept")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "id")
+    some = signed.filter("n > 0").join(classes, "node")
+    first = some.groupBy("component").agg(F.min(order).alias("first"))
+    judged = some.join(first, "component").select("id", "th", ((F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))).alias("stays"))
+    # rows alike in id and text are alike here
+    fate = staged.put(judged.groupBy("id", "th").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("copies")))
+    names = tk.fresh(docs.columns, "_id", "_th")
+    keyed = docs.withColumns({names[0]: F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull()), names[1]: F.xxhash64("text")})
+    named = lambda df: df.select(F.col("id").alias(names[0]), F.col("th").alias(names[1])).hint("merge")
+    out = keyed.join(named(fate.filter("not stays or copies > 1")), names, "left_anti").select(*docs.columns)
+    again = fate.filter("stays and copies > 1")
+    if again.head(1):
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        alike = keyed.join(named(again), names, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("_least"))
+        out = out.union(alike.select(*[F.col(f"_least.{c}").alias(c) if c in others else F.col(c) for c in docs.columns]))
+    return out
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

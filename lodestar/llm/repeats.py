@@ -102,12 +102,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     span's end has cut) and spans, an array of [start, end).
 
     A null text counts as empty. Repeated rows repeat each other, also under
-    the same or a null doc_id. Columns of docs with these names are replaced.
+    the same or a null doc_id, which may have any type. Texts may have any
+    length. An empty table gives no rows. Columns of docs with the names above
+    are replaced.
     """
     spark = docs.sparkSession
     staged = Staged(spark, "repeats")
-    own = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "spans", "_id", "_th")
-    keyed = own.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "spans")
+    id_, th_ = F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull()), F.xxhash64(F.coalesce("text", F.lit("")))
 
     def cut(batches):
         for batch in batches:
@@ -118,15 +120,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
                 values = (ids[row], th[row], begins[doc] + start, wins.astype(np.int32), anchor.view(np.int64), content.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["_id", "_th", "pos", "wins", "anchor", "content"])
 
-    # a null id is told apart by its text hash alone; as bytes a text is never decoded
-    light = keyed.select(F.coalesce("_id", F.lit(-(2**63))).alias("_id"), "_th", F.col("text").cast("binary").alias("text"))
+    # a row is known by the hashes of its id and its text; as bytes a text is never decoded
+    light = docs.select(id_.alias("_id"), th_.alias("_th"), F.col("text").cast("binary").alias("text"))
     runs = staged.put(light.mapInArrow(cut, "_id long, _th long, pos long, wins int, anchor long, content long"))
 
     per_anchor = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"))
     shared_anchors = staged.put(per_anchor.filter("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")))
     shared = staged.put(runs.join(shared_anchors.hint("merge"), "anchor"))
     staged.drop(runs)
-    staged.tidy()
     mark = lambda df: df.select("_id", "_th", F.col("pos").alias("a"), (F.col("pos") + F.col("wins")).alias("b"))
     marks = [mark(shared.filter("not mixed"))]
 
@@ -207,21 +208,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     rows = marks[0]
     for m in marks[1:]:
         rows = rows.union(m)
-    lists = staged.put(rows.groupBy("_id", "_th").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b")))
-    staged.tidy()
-    joined = keyed.join(lists.withColumnsRenamed({"_id": "_i", "_th": "_t"}).hint("merge"), (F.coalesce(keyed["_id"], F.lit(-(2**63))) == F.col("_i")) & (keyed["_th"] == F.col("_t")), "left")
+    # rows alike in id and text have the same marks: a set has them once, whatever the number of such rows
+    i, t, m = tk.fresh(own.columns, "_i", "_t", "_m")
+    lists = staged.put(rows.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "b")).alias(m)).withColumnsRenamed({"_id": i, "_th": t}))
+    joined = own.join(lists.hint("merge"), (id_ == F.col(i)) & (th_ == F.col(t)), "left")
 
     def keep(piece):
         data, offsets = tk.lay_out(piece.column("text"))
-        a, b = (piece.column(c).to_pylist() for c in ("_a", "_b"))
+        marks = piece.column(m)
         out = {"n_bytes": np.diff(offsets), "n_removed": [], "n_spans": [], "kept": [], "spans": []}
-        for i in range(len(a)):
+        for i in range(len(marks)):
             raw = data[offsets[i] : offsets[i + 1]]
             gone, e = None, np.zeros(0, np.int64)
-            if a[i]:
-                delta = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(delta, np.asarray(a[i]), 1)
-                np.add.at(delta, np.asarray(b[i]) + length - 1, -1)
+            if marks[i].is_valid:
+                a, b = (np.asarray(x) for x in marks[i].values.flatten())
+                delta = np.zeros(len(raw) + 1, dtype=np.int32)
+                np.add.at(delta, a, 1)
+                np.add.at(delta, b + length - 1, -1)
                 gone = np.cumsum(delta)[:-1] > 0
                 e = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
             kept = (raw if gone is None else raw[~gone]).tobytes()
@@ -232,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
         return out
 
     added = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary(), "spans": pa.list_(pa.list_(pa.int64()))}
-    return tk.append(joined.select(*own.columns, "_a", "_b"), added, keep, without=("_a", "_b"))
+    return tk.append(joined.select(*own.columns, m), added, keep, without=(m,))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

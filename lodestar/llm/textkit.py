@@ -232,6 +232,17 @@ def shingle_sets(texts, size: int, member: np.ndarray = NON_SPACE) -> list[np.nd
     return out
 
 
+def fresh(columns, *names: str) -> list[str]:
+    """Names for columns of our own that no column of a caller's table has."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def pieces(batches, limit: int = CHUNK, column: str = "text", rows: int = 2048):
     """Cuts Arrow batches so that a piece holds about `limit` bytes of text and `rows` rows at most; a long text stands alone."""
     for batch in batches:

@@ -97,7 +97,7 @@ def near_duplicates(rows, words, percent=80):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-def backoff(texts, order=2, min_count=2, factor=0.4):
+def backoff(texts, order=2, min_count=1, factor=0.4):
     """(n_tokens, n_backoff, log_score) of each text."""
     from math import log
 
@@ -131,3 +131,55 @@ def url(text, rules):
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
             best = (verdict, rule)
     return host, path, best and best[1], best and best[0]
+
+
+def tree(text):
+    """(root, [(branch, [leaf, ...]), ...]) with whole hashes, by the rules of the fingerprints."""
+    from lodestar.llm import merkle
+
+    ends = merkle.ENDS.replace(r"\n", "\n")
+    word_ends = " \t\x0b\f\r,;:、，；："
+    pieces = []
+    for p in re.findall(f"[^{ends}]{{0,{merkle.WIDEST}}}[{ends}]+|[^{ends}]+", text):
+        if len(p) > merkle.WIDEST and p[-1] not in ends:
+            for q in re.sub(f"([{merkle.LAST}][{word_ends}]+)([{merkle.FIRST}])", "\\1\n\\2", p).split("\n"):
+                pieces += [q[i : i + merkle.WIDEST] for i in range(0, len(q), merkle.WIDEST)]
+        else:
+            pieces.append(p)
+    assert "".join(pieces) == text
+    sections, own = [], []
+    for p in pieces:
+        own.append(sha(p.encode()))
+        if own[-1][0] in merkle.CUTS:
+            sections.append(own)
+            own = []
+    sections += [own] if own else []
+    branches = [(sha(",".join(s).encode()), s) for s in sections]
+    return sha(",".join(b for b, _ in branches).encode()), branches
+
+
+def likeness(a, b):
+    """Of two trees: 1 for equal roots, else shared leaves over all, sections with equal branches counting whole."""
+    if a[0] == b[0]:
+        return 1.0
+    x, y = {h: s for h, s in a[1]}, {h: s for h, s in b[1]}
+    same = sum(len(x[h]) for h in x.keys() & y.keys())
+    u, v = ({leaf for h, s in p.items() if h not in q for leaf in s} for p, q in ((x, y), (y, x)))
+    return (same + len(u & v)) / (same + len(u | v)) if same or u or v else 0.0
+
+
+def aliases(edges):
+    """{node: its component's smallest node} by union-find."""
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(parent)}

@@ -69,7 +69,7 @@ def test_op5_scores(spark, sf_dir, rows):
     for r, (n, steps, score) in zip(rows, brute.backoff([r.text for r in rows])):
         o = out[r.doc_id]
         assert (o.n_tokens, o.n_backoff) == (n, steps)
-        assert o.log_score is None if score is None else math.isclose(o.log_score, score, rel_tol=1e-9)
+        assert o.log_score is None if score is None else math.isclose(o.log_score, score, abs_tol=1e-4)
 
 
 def test_op6_urls(spark, sf_dir):

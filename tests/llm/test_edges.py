@@ -17,7 +17,9 @@ ROWS = [
     (7, LONG, "en", "a", None), (8, "short", "en", "a", None), (9, "é ñ ü 漢字 … " * 30, "es", "a", None), (None, None, None, None, None), (-3, "...!!! 1234", "xx", "a", None),
 ]
 #: Names that the operators use for their own columns.
-CLASH = ("n_bytes", "kept", "spans", "n_hit", "items", "score", "predicted", "held_out", "lang_pred", "domain", "epoch", "n_tokens", "n", "key", "rep", "_id", "_th", "label", "chars", "component")
+CLASH = ("n_bytes", "kept", "spans", "n_hit", "items", "score", "predicted", "held_out", "lang_pred", "domain", "epoch", "n_tokens", "n", "key", "rep", "_id", "_th", "label", "chars", "component",
+         "_a", "_b", "_i", "_t", "_m", "_d", "_l", "_s", "_lang", "_source", "_whole", "_last", "last", "whole", "_hits", "words", "lines", "_statistic_chars", "_statistic_words",
+         "id", "th", "node", "unit", "near", "centre", "slice", "rest", "a", "b", "pos", "anchor", "fingerprint", "_k", "_g", "_own", "_c", "next_text", "ids", "batch", "gram", "limit", "budget")
 
 
 def table(spark, rows=ROWS):
@@ -135,9 +137,10 @@ def test_budgets(spark):
     assert got == {("x", "en"): 10.0, ("x", "de"): 100.0, ("y", "en"): 490.0}
 
 
-def test_scores(docs, none):
-    got = sorted(ngram_lm.score_documents(docs, order=3).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
-    want = sorted(zip([r[0] for r in ROWS], brute.backoff([r[1] for r in ROWS], 3)), key=lambda r: (r[0] is None, r[0] or 0, r[1][0]))
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores(docs, none, least):
+    got = sorted(ngram_lm.score_documents(docs, order=3, min_count=least).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
+    want = sorted(zip([r[0] for r in ROWS], brute.backoff([r[1] for r in ROWS], 3, least)), key=lambda r: (r[0] is None, r[0] or 0, r[1][0]))
     for r, (d, (n, steps, score)) in zip(got, want, strict=True):
         assert (r.doc_id, r.n_tokens, r.n_backoff) == (d, n, steps)
         assert r.log_score is None if score is None else r.log_score == pytest.approx(score, rel=1e-9)
