@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.leaks import find_leaks
 from lodestar.llm.mixing import mix
-from lodestar.llm.neardup import near_duplicates
+from lodestar.llm.neardup import drop_near_duplicates
 from lodestar.llm.quality import classify_quality
 from lodestar.llm.repeats import remove_repeats
 from lodestar.llm.store import Staged, table
@@ -23,9 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
-    gone = near_duplicates(docs, words=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies the row with the smallest id stays (null ids last); rows without words stay."""
+    return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
