@@ -3,15 +3,17 @@
 `inline(sql)` writes their bodies into a statement, so they work in every
 clause and cost nothing to set up; `register(spark)` makes them known to a
 session by name instead. None runs Python except `ls_json_contains`, for
-queries that differ by row or hold arrays.
+queries that differ by row.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ FUNCTIONS: dict[str, tuple[str, str]] = {
         "array_join(transform(regexp_extract_all(s, '[0-9]+|[^0-9]+', 0), x -> if(x rlike '^[0-9]' AND length(x) < 20, lpad(x, 20, '0'), x)), '')",
     ),
     # numbers
-    "ls_floor(x DOUBLE)": ("DOUBLE", "CAST(floor(x) AS DOUBLE)"),
-    "ls_ceil(x DOUBLE)": ("DOUBLE", "CAST(ceil(x) AS DOUBLE)"),
+    # whole numbers stay as they are, of any width
+    "ls_floor(x ANY)": ("ANY", "CASE WHEN abs(x) >= 9007199254740992 THEN x ELSE x - pmod(x, 1) END"),
+    "ls_ceil(x ANY)": ("ANY", "CASE WHEN abs(x) >= 9007199254740992 THEN x ELSE x + pmod(-x, 1) END"),
     # lenient casts of text: the leading number, else 0
     "ls_text_double(s STRING)": ("DOUBLE", r"CASE WHEN s IS NOT NULL THEN coalesce(try_cast(regexp_extract(trim(s), '^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?', 0) AS DOUBLE), 0D) END"),
     "ls_text_long(s STRING)": (
@@ -65,9 +68,8 @@ FUNCTIONS: dict[str, tuple[str, str]] = {
     "ls_json_array_length_at(j STRING, p STRING)": ("BIGINT", "CAST(json_array_length(get_json_object(j, p)) AS BIGINT)"),
     # full text
     "ls_tokens(t STRING)": ("ARRAY<STRING>", rf"filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{Nd}}]+', 0), w -> NOT array_contains(array({_STOP}), w))"),
-    "ls_has_phrase(d ARRAY<STRING>, p ARRAY<STRING>)": ("BOOLEAN", "size(d) >= size(p) AND exists(sequence(1, greatest(size(d) - size(p) + 1, 1)), i -> slice(d, i, size(p)) = p)"),
-    "ls_has_all(d ARRAY<STRING>, q ARRAY<STRING>)": ("BOOLEAN", "size(array_except(q, d)) = 0"),
-    "ls_count_in(d ARRAY<STRING>, t STRING)": ("DOUBLE", "CAST(size(filter(d, x -> x = t)) AS DOUBLE)"),
+    # a text's tokens one after the other between blanks; no token holds a blank
+    "ls_token_line(t STRING)": ("STRING", "concat(' ', array_join(ls_tokens(t), ' '), ' ')"),
     # vectors
     "ls_same_size(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)": ("BOOLEAN", "CASE WHEN size(a) = size(b) THEN true ELSE CAST(raise_error(concat('vectors of ', size(a), ' and ', size(b), ' dimensions')) AS BOOLEAN) END"),
     "ls_vector(s STRING)": ("ARRAY<FLOAT>", "from_json(s, 'array<float>')"),
@@ -130,11 +132,15 @@ def _json_contains(documents: pd.Series, queries: pd.Series) -> pd.Series:
     parsed: dict[str, object] = {}
 
     def one(d, q) -> bool:
-        if d is None or q is None:
+        """A null or a text that is no JSON, on either side, gives false."""
+        try:
+            if d is None or q is None:
+                return False
+            if q not in parsed:
+                parsed[q] = json.loads(q)
+            return contains(json.loads(d), parsed[q])
+        except ValueError:
             return False
-        if q not in parsed:
-            parsed[q] = json.loads(q)
-        return contains(json.loads(d), parsed[q])
 
     return pd.Series([one(d, q) for d, q in zip(documents, queries)], dtype=bool)
 
@@ -192,41 +198,60 @@ _MACROS: dict = {}
 
 
 def contains_sql(document: str, query: str) -> str | None:
-    """JSON_CONTAINS for a literal query without arrays, as tests of its leaves; None for others."""
-    v, tests = f"try_parse_json({document})", []
-
-    def walk(path: str, q) -> bool:
-        x = f"try_variant_get({v}, {literal(path)}, 'variant')"
-        kind = f"schema_of_variant({x})"
-        if isinstance(q, list):
-            return False
+    """JSON_CONTAINS for a literal query, as native tests of its parts; None where the query is no JSON."""
+    names = (f"_v{i}" for i in range(1 << 30))
+
+    def bound(value: str, test) -> str:
+        """test(name) with the value bound to a name, so that it is computed once."""
+        x = next(names)
+        return f"transform(array({value}), {x} -> {test(x)})[0]"
+
+    def fit(left: str, rest: list) -> str:
+        """Members are given out one to one, each to the first that fits."""
+        if not rest:
+            return "true"
+        x, j, k, y, i = (next(names) for _ in range(5))
+        first = f"array_min(filter(transform({left}, ({x}, {j}) -> if({holds(x, rest[0])}, {j}, NULL)), {k} -> {k} IS NOT NULL))"
+        left_over = lambda at: f"filter({left}, ({y}, {i}) -> {i} != {at})"
+        return bound(first, lambda at: f"if({at} IS NULL, false, {bound(left_over(at), lambda more: fit(more, rest[1:]))})")
+
+    def holds(v: str, q) -> str:
+        kind = f"coalesce(schema_of_variant({v}), '')"
         if isinstance(q, dict):
-            tests.append(f"{kind} LIKE 'OBJECT%'")
-            return all('"' not in k and "\\" not in k and walk(f'{path}["{k}"]', child) for k, child in q.items())
+            parts = [f"{kind} LIKE 'OBJECT%'"]
+            for k, child in q.items():
+                path = literal(f"$['{k}']" if '"' in k or "\\" in k else f'$["{k}"]')
+                parts.append(bound(f"try_variant_get({v}, {path}, 'variant')", lambda x, child=child: f"({x} IS NOT NULL AND {holds(x, child)})"))
+            return f"({' AND '.join(parts)})"
+        if isinstance(q, list):
+            members = f"try_variant_get({v}, '$', 'array<variant>')"
+            return f"({kind} LIKE 'ARRAY%' AND {bound(members, lambda d: fit(d, q))})"
         if q is None:
-            tests.append(f"{kind} = 'VOID'")
-        elif isinstance(q, bool):
-            tests.append(f"{kind} = 'BOOLEAN' AND try_variant_get({v}, {literal(path)}, 'boolean') = {str(q).lower()}")
-        elif isinstance(q, str):
-            tests.append(f"{kind} = 'STRING' AND try_variant_get({v}, {literal(path)}, 'string') = {literal(q)}")
-        else:
-            tests.append(f"({kind} IN ('BIGINT', 'DOUBLE') OR {kind} LIKE 'DECIMAL%') AND try_variant_get({v}, {literal(path)}, 'double') = {float(q)!r}D")
-        return True
+            return f"({kind} = 'VOID')"
+        if isinstance(q, bool):
+            return f"({kind} = 'BOOLEAN' AND try_variant_get({v}, '$', 'boolean') = {str(q).lower()})"
+        if isinstance(q, str):
+            return f"({kind} = 'STRING' AND try_variant_get({v}, '$', 'string') = {literal(q)})"
+        return f"(({kind} IN ('BIGINT', 'DOUBLE') OR {kind} LIKE 'DECIMAL%') AND try_variant_get({v}, '$', 'double') = {float(q)!r}D)"
 
     try:
-        return f"coalesce({' AND '.join(tests)}, false)" if walk("$", json.loads(query)) else None
+        parsed = json.loads(query)
     except ValueError:
         return None
+    return f"coalesce({bound(f'try_parse_json({document})', lambda v: f'({v} IS NOT NULL AND {holds(v, parsed)})')}, false)"
 
 
 def register_python(spark: SparkSession) -> None:
-    """The one function that runs in Python workers."""
+    """The one function that runs in Python workers, which is sent to them by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.udf.register("ls_json_contains", F.pandas_udf(_json_contains, "boolean"))
 
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session by name; safe to call again."""
     for head, (kind, body) in {**FUNCTIONS, **_typed()}.items():
+        if kind == "ANY":  # of the argument's own type: written out only
+            continue
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     register_python(spark)
 
@@ -269,35 +294,51 @@ def _array(words: list[str]) -> str:
 
 
 def match_sql(document: str, query: str) -> str:
-    """MATCH(document, query) as a Spark SQL condition that is never null."""
+    """MATCH(document, query) as a Spark SQL condition that is never null.
+
+    The text is cut to tokens once; terms and phrases are looked for in the
+    line of all tokens, so the cost grows with the text alone.
+    """
     parsed = parse_match(query)
     if parsed is None:
         return "false"
     terms, phrases = parsed
-    d = f"ls_tokens({document})"
-    tests = [f"ls_has_all({d}, {_array(list(dict.fromkeys(terms)))})"] if terms else []
-    tests += [f"ls_has_phrase({d}, {_array(p)})" for p in phrases]
-    return f"coalesce({' AND '.join(tests)}, false)"
+    wanted = [" ".join(p) for p in [[t] for t in dict.fromkeys(terms)] + phrases]
+    tests = " AND ".join(f"contains(_d, {literal(f' {w} ')})" for w in wanted)
+    return f"coalesce(exists(array(ls_token_line({document})), _d -> {tests}), false)"
 
 
 def rank_sql(document: str, query: str) -> str:
-    """TS_RANK(document, query): saturated term frequencies by coverage and length, phrase and proximity bonuses."""
+    """TS_RANK(document, query): saturated term frequencies by coverage and length, phrase and proximity bonuses.
+
+    One pass over the tokens, which are bound once, finds the counts of the
+    terms, their last places and the smallest stretch that holds one of each:
+    the stretch that ends at a token goes back to the earliest of the last places.
+    """
     parsed = parse_match(query)
     if parsed is None:
         return "0D"
     terms, phrases = parsed
     q = list(dict.fromkeys([*terms, *(t for p in phrases for t in p)]))
-    n, d = len(q), f"ls_tokens({document})"
-    each = [f"ls_count_in({d}, {literal(t)})" for t in q]
+    n = len(q)
+    start = f"named_struct('i', 0, 'at', array_repeat(0, {n}), 'n', array_repeat(0, {n}), 'span', {_BIG})"
+    place = f"array_position({_array(q)}, _t)"
+    put = lambda what, value: f"transform(_s.{what}, (_x, _j) -> if(_j + 1 = {place}, {value}, _x))"
+    step = (
+        f"if({place} = 0, named_struct('i', _s.i + 1, 'at', _s.at, 'n', _s.n, 'span', _s.span), transform(array({put('at', '_s.i + 1')}), _at -> "
+        f"named_struct('i', _s.i + 1, 'at', _at, 'n', {put('n', '_x + 1')}, 'span', if(array_min(_at) > 0, least(_s.span, _s.i + 2 - array_min(_at)), _s.span)))[0])"
+    )
+    each = [f"CAST(_f.n[{i}] AS DOUBLE)" for i in range(n)]
     hit = " + ".join(f"if({c} > 0, 1D, 0D)" for c in each)
     saturated = " + ".join(f"ln(1 + {c}) / (1 + ln(1 + {c}))" for c in each)
     cover = f"(({hit}) / {n}D)"
-    score = f"(({saturated}) / {n}D) * (0.5D + 0.5D * {cover}) / sqrt(1D + greatest(size({d}) - {n}, 0) / 20D)"
+    score = f"(({saturated}) / {n}D) * (0.5D + 0.5D * {cover}) / sqrt(1D + greatest(_f.i - {n}, 0) / 20D)"
     for p in phrases:
-        score += f" + if(ls_has_phrase({d}, {_array(p)}), {0.25 * len(p) / n!r}D, 0D)"
+        score += f" + if(contains(_line, {literal(' ' + ' '.join(p) + ' ')}), {0.25 * len(p) / n!r}D, 0D)"
     if n >= 2:
-        # for every start the farthest of each term's first places from there on
-        far = f"transform({_array(q)}, _q -> coalesce(array_min(filter(transform({d}, (_x, _i) -> if(_x = _q, _i + 1, NULL)), _k -> _k >= _s)), {_BIG}))"
-        span = f"array_min(transform(sequence(1, greatest(size({d}), 1)), _s -> array_max({far}) - _s + 1))"
-        score += f" + if(({hit}) = {n}, 0.2D * ({n}D / {span}) * {cover}, 0D)"
-    return f"CASE WHEN {document} IS NULL OR ({hit}) = 0 THEN 0D ELSE {score} END"
+        score += f" + if(({hit}) = {n}, 0.2D * ({n}D / _f.span) * {cover}, 0D)"
+    ranked = f"if(({hit}) = 0, 0D, {score})"
+    if phrases:
+        ranked = f"transform(array(concat(' ', array_join(_d, ' '), ' ')), _line -> {ranked})[0]"
+    found = f"transform(array(aggregate(_d, {start}, (_s, _t) -> {step})), _f -> {ranked})[0]"
+    return f"CASE WHEN {document} IS NULL THEN 0D ELSE transform(array(ls_tokens({document})), _d -> {found})[0] END"

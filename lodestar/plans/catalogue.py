@@ -264,7 +264,36 @@ dialect("vec_cosine_topk", f"SELECT vec_id, ROUND(VEC_COSINE(embedding, '{_V}'),
 _TOK = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in library.STOP_WORDS) + "], w))"
 dialect("fts_match_terms", "SELECT doc_id FROM documents WHERE MATCH(text, 'er of th')", f"SELECT doc_id FROM (SELECT doc_id, {_TOK} AS d FROM documents) WHERE list_has_all(d, ['er', 'th'])")
 dialect("fts_match_phrase", "SELECT doc_id FROM documents WHERE MATCH(text, '\"this en\"')", f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({_TOK}, ' ') || ' ' AS d FROM documents) WHERE contains(d, ' this en ')")
-dialect("fts_rank", "SELECT doc_id, ROUND(TS_RANK(text, 'er th'), 6) AS r FROM documents ORDER BY r DESC, doc_id LIMIT 20", None)
+# TS_RANK by list functions: counts, coverage, length, phrase, and the smallest stretch that ends at a token and holds every term
+_RANK = f"""WITH t AS (SELECT doc_id, {_TOK} AS d FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, d, {{q}} AS q FROM t),
+c AS (SELECT doc_id, d, len(q) AS n, list_transform(q, lambda x: len(list_filter(d, lambda y: y = x))) AS c,
+  list_filter(list_transform(d, lambda y, i: CASE WHEN y = q[1] THEN i END), lambda i: i IS NOT NULL) AS at1, list_filter(list_transform(d, lambda y, i: CASE WHEN y = q[2] THEN i END), lambda i: i IS NOT NULL) AS at2 FROM q),
+s AS (SELECT *, len(list_filter(c, lambda x: x > 0)) AS hit,
+  list_min(list_transform(list_concat(at1, at2), lambda e: e - least(list_max(list_filter(at1, lambda i: i <= e)), list_max(list_filter(at2, lambda i: i <= e)),
+    CASE WHEN len(list_filter(at1, lambda i: i <= e)) * len(list_filter(at2, lambda i: i <= e)) = 0 THEN -1000000000 END) + 1)) AS span FROM c)"""
+_RANKED = "list_sum(list_transform(c, lambda x: ln(1 + x) / (1 + ln(1 + x)))) / n * (0.5 + 0.5 * hit / n) / sqrt(1 + greatest(len(d) - n, 0) / 20.0)"
+_NEAR = "CASE WHEN hit = n THEN 0.2 * (n / span::DOUBLE) * hit / n ELSE 0 END"
+dialect("fts_rank", "SELECT doc_id, ROUND(TS_RANK(text, 'er th'), 6) AS r FROM documents ORDER BY r DESC, doc_id LIMIT 20",
+        _RANK.replace("{q}", "['er', 'th']") + f" SELECT doc_id, round(coalesce(CASE WHEN hit = 0 THEN 0 ELSE {_RANKED} + {_NEAR} END, 0), 6)::DOUBLE AS r FROM documents LEFT JOIN s USING (doc_id) ORDER BY r DESC, doc_id LIMIT 20")
+dialect("fts_rank_phrase", "SELECT doc_id, ROUND(TS_RANK(text, '\"this en\"'), 6) AS r FROM documents ",
+        _RANK.replace("{q}", "['this', 'en']") + f" SELECT doc_id, round(coalesce(CASE WHEN hit = 0 THEN 0 ELSE {_RANKED} + CASE WHEN contains(' ' || array_to_string(d, ' ') || ' ', ' this en ') THEN 0.25 ELSE 0 END + {_NEAR} END, 0), 6)::DOUBLE AS r FROM documents LEFT JOIN s USING (doc_id)")
+dialect("json_contains_array", "SELECT event_id, JSON_CONTAINS(CONCAT('{\"a\": [', event_id, ', 1, {\"k\": ', user_id, '}, 1]}'), '{\"a\": [1, 1, {\"k\": 3}]}') AS c FROM events ",
+        "SELECT event_id, user_id = 3 AS c FROM events")
+dialect("fn_floor_whole", "SELECT o_orderkey, FLOOR(o_orderkey + 9007199254740993) AS f, CEIL(o_custkey) AS c, FLOOR(-o_totalprice) AS n, CEIL(o_totalprice) AS u FROM orders ",
+        "SELECT o_orderkey, o_orderkey + 9007199254740993 AS f, o_custkey AS c, floor(-o_totalprice) AS n, ceil(o_totalprice) AS u FROM orders")
+dialect("agg_count_json", "SELECT COUNT(*) AS n FROM events WHERE JSON_CONTAINS(props, '{\"k\": 7}')", "SELECT count(*) AS n FROM events WHERE CAST(props ->> '$.k' AS INTEGER) = 7")
+dialect("agg_count_match", "SELECT COUNT(*) AS n FROM documents WHERE MATCH(text, 'er of th')", f"SELECT count(*) AS n FROM (SELECT {_TOK} AS d FROM documents) WHERE list_has_all(d, ['er', 'th'])")
+dialect("win_avg", "SELECT l_orderkey, l_linenumber, AVG(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS m FROM lineitem ",
+        "SELECT l_orderkey, l_linenumber, avg(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM lineitem")
+dialect("win_range_frame", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS n FROM events ",
+        "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS n FROM events")
+dialect("union_order_limit", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name AS name FROM region ORDER BY name DESC LIMIT 12", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region ORDER BY name DESC LIMIT 12")
+dialect("select_star", "SELECT * FROM supplier ", "SELECT * FROM supplier")
+dialect("fn_now_uuid", "SELECT n_nationkey, LENGTH(GEN_RANDOM_UUID()) AS len, GEN_RANDOM_UUID() = GEN_RANDOM_UUID() AS same, NOW() > TO_TIMESTAMP('2024-01-01 00:00:00') AS late FROM nation ",
+        "SELECT n_nationkey, 36::BIGINT AS len, false AS same, true AS late FROM nation")
+dialect("join_anti_null", "SELECT c_custkey FROM customer WHERE NULLIF(c_custkey, 5) NOT IN (SELECT NULLIF(o_custkey, 4) FROM orders )",
+        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE nullif(o_custkey, 4) = nullif(c_custkey, 5))")
 
 
 # writes as transforms: the rows after the statement

@@ -170,8 +170,8 @@ class _Rewriter:
             self.i += 2
             inner = _Rewriter(self.group()).run()
             operand = self.primary(out)
-            # nulls of the subquery are ignored and a null operand stays, as in an anti-join
-            out.append(f"({operand} IS NULL OR {operand} NOT IN (SELECT _v FROM ({inner}) AS _s(_v) WHERE _v IS NOT NULL))")
+            # nulls of the subquery are ignored and a null operand stays: an anti join on equality, never a nested loop
+            out.append(f"(NOT EXISTS (SELECT 1 FROM ({inner}) AS _s(_v) WHERE _v = {operand}))")
         elif kind == "word" and self.peek(1) == "(" and not (out and out[-1] == "."):
             self.i += 1
             self.call(text, upper, out)
