@@ -5,11 +5,11 @@ contains one anchor, the gram with the smallest hash in it, so equal windows
 anywhere in the corpus have equal anchors. Consecutive windows with the same
 anchor form a run, and only a run's hashes are shuffled:
 
-1. an anchor that occurs once settles its run: no window of it repeats;
-2. where all runs of an anchor are the same bytes, all their windows repeat;
-3. the distinct runs of the other anchors meet, anchor by anchor, and a BWT
+1. a run that occurs more than once repeats with all its windows;
+2. a run that is its anchor's only kind has no other windows to repeat;
+3. the different runs of the other anchors meet, anchor by anchor, and a BWT
    with threshold-bounded interval expansion finds the repeated windows.
-   Anchors with very many distinct runs are split by the windows' own hashes.
+   Anchors with very many different runs are split by the windows' own hashes.
 
 Hash counts are pre-aggregated before they are shuffled, no text is ever
 compared with all others, and a text's own marks meet it in one join.
@@ -124,23 +124,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     light = docs.select(id_.alias("_id"), th_.alias("_th"), F.col("text").cast("binary").alias("text"))
     runs = staged.put(light.mapInArrow(cut, "_id long, _th long, pos long, wins int, anchor long, content long"))
 
-    per_anchor = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    shared_anchors = staged.put(per_anchor.filter("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")))
-    shared = staged.put(runs.join(shared_anchors.hint("merge"), "anchor"))
-    staged.drop(runs)
     mark = lambda df: df.select("_id", "_th", F.col("pos").alias("a"), (F.col("pos") + F.col("wins")).alias("b"))
-    marks = [mark(shared.filter("not mixed"))]
-
-    mixed = shared.filter("mixed")
-    first = F.min(F.struct("_id", "_th", "pos", "wins"))
-    kinds = staged.put(mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), first.alias("one")))
-    marks.append(mark(mixed.join(kinds.filter("n > 1").select("anchor", "content").hint("merge"), ["anchor", "content"])))
-    large = staged.put(kinds.groupBy("anchor").count().filter(F.col("count") > split).select("anchor"))
+    # one place of each kind, whichever: the firsts of one group are of one row
+    one = [F.first(c).alias(c) for c in ("_id", "_th", "pos", "wins")]
+    every_kind = staged.put(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), *one))
+    # all windows of a run that occurs again repeat, whatever else its anchor has: one join marks them all
+    marks = [mark(runs.join(every_kind.filter("n > 1").select("anchor", "content"), ["anchor", "content"]))]
+    mixed = staged.put(every_kind.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    kinds = staged.put(every_kind.join(mixed, "anchor"))
+    large = staged.put(mixed.filter(F.col("kinds") > split).select("anchor"))
     has_large = bool(large.head(1))
 
     def bytes_of(chosen: DataFrame) -> DataFrame:
         """The runs of each text are listed on one row, which meets the text once."""
-        lists = chosen.select("one._id", "one._th", F.struct("one.pos", "one.wins", "anchor", "n").alias("r")).groupBy("_id", "_th").agg(F.collect_list("r").alias("runs"))
+        lists = chosen.select("_id", "_th", F.struct("pos", "wins", "anchor", "n").alias("r")).groupBy("_id", "_th").agg(F.collect_list("r").alias("runs"))
         return lists.hint("merge").join(light, ["_id", "_th"])
 
     def take(frames):
