@@ -125,15 +125,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
     runs = staged.put(light.mapInArrow(cut, "_id long, _th long, pos long, wins int, anchor long, content long"))
 
     mark = lambda df: df.select("_id", "_th", F.col("pos").alias("a"), (F.col("pos") + F.col("wins")).alias("b"))
-    # one place of each kind, whichever: the firsts of one group are of one row
-    one = [F.first(c).alias(c) for c in ("_id", "_th", "pos", "wins")]
-    every_kind = staged.put(runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), *one))
-    # all windows of a run that occurs again repeat, whatever else its anchor has: one join marks them all
-    marks = [mark(runs.join(every_kind.filter("n > 1").select("anchor", "content"), ["anchor", "content"]))]
-    mixed = staged.put(every_kind.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    kinds = staged.put(every_kind.join(mixed, "anchor"))
-    large = staged.put(mixed.filter(F.col("kinds") > split).select("anchor"))
-    has_large = bool(large.head(1))
+    every_kind = staged.put(runs.groupBy("anchor", "content").agg(F.count("*").alias("n")))
+    shared = staged.put(every_kind.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).filter("times > 1").select("anchor", "kinds"))
+    known = staged.put(every_kind.join(shared, "anchor"))
+    # the one join of the runs: with how often each occurs and how many kinds its anchor has
+    met = staged.put(runs.join(known, ["anchor", "content"]))
+    staged.drop(runs)
+    staged.drop(every_kind)
+    # all windows of a run that occurs again repeat, whatever else its anchor has
+    marks = [mark(met.filter("n > 1"))]
+    # of each kind one place, whichever: the firsts of one group are of one row
+    several, cols = met.filter("kinds > 1"), ("_id", "_th", "pos", "wins", "n", "kinds")
+    one = several.filter("n > 1").groupBy("anchor", "content").agg(*[F.first(c).alias(c) for c in cols]).select("anchor", *cols)
+    kinds = several.filter("n = 1").select("anchor", *cols).union(one)
+    has_large = bool(shared.filter(F.col("kinds") > split).head(1))
 
     def bytes_of(chosen: DataFrame) -> DataFrame:
         """The runs of each text are listed on one row, which meets the text once."""
@@ -149,9 +154,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
                 seen.add((i, th))
                 yield pd.DataFrame([(i, th, r["pos"], r["anchor"], r["n"] > 1, text[r["pos"] : r["pos"] + r["wins"] + length - 1]) for r in runs], columns=["_id", "_th", "pos", "anchor", "known", "piece"])
 
-    small = kinds.join(large, "anchor", "left_anti") if has_large else kinds
-    met = (
-        bytes_of(small)
+    pieces = (
+        bytes_of(kinds.filter(F.col("kinds") <= split))
         .mapInPandas(take, "_id long, _th long, pos long, anchor long, known boolean, piece binary")
         .repartition(partitions(spark), "anchor")
         .sortWithinPartitions("anchor")
@@ -174,7 +178,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
                 if out:
                     yield pd.DataFrame(out, columns=["_id", "_th", "a", "b"])
 
-    marks.append(met.mapInPandas(judge, "_id long, _th long, a long, b long"))
+    marks.append(pieces.mapInPandas(judge, "_id long, _th long, a long, b long"))
 
     if has_large:
 
@@ -198,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 48, split: in
                     }
                 )
 
-        every = staged.put(bytes_of(kinds.join(large, "anchor", "left_semi")).mapInPandas(windows, "_id long, _th long, a long, w1 long, w2 long"))
+        every = staged.put(bytes_of(kinds.filter(F.col("kinds") > split)).mapInPandas(windows, "_id long, _th long, a long, w1 long, w2 long"))
         often = staged.put(every.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"))
         marks.append(every.join(often, ["w1", "w2"]).select("_id", "_th", "a", (F.col("a") + 1).alias("b")))
 
