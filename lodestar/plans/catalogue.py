@@ -100,14 +100,8 @@ def join_anti_frame(spark, sf_dir):
     return relational.anti(c, o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey")
 
 
-@query("SELECT e1.event_id AS a, e2.event_id AS b FROM events e1 JOIN events e2 ON e1.user_id = e2.user_id AND e1.event_type = e2.event_type AND e1.event_id < e2.event_id AND e2.value < 0.2 AND e1.value < 0.2")
-def join_self(spark, sf_dir):
-    e = _read(spark, sf_dir, "events").filter("value < 0.2").select("event_id", "user_id", "event_type")
-    return e.alias("x").join(e.alias("y"), ["user_id", "event_type"]).filter("x.event_id < y.event_id").select(F.col("x.event_id").alias("a"), F.col("y.event_id").alias("b"))
-
-
 @query("SELECT e1.event_id AS a, e2.event_id AS b FROM events e1 ASOF JOIN events e2 ON e1.user_id = e2.user_id AND e1.event_type = e2.event_type AND e1.event_id < e2.event_id")
-def join_self_next(spark, sf_dir):
+def join_self(spark, sf_dir):
     """Every event with the user's next one of the same type."""
     e = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.row_number().over(windows.over(["user_id", "event_type"], ["event_id"])).alias("n"))
     after = e.select(F.col("event_id").alias("b"), "user_id", "event_type", (F.col("n") - 1).alias("n"))
@@ -165,18 +159,11 @@ def ext_intersect_except(spark, sf_dir):
 
 
 # sorts
-dialect("sort_multi", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 100", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 100")
-dialect("sort_nulls", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey, c.c_custkey LIMIT 60",
-        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY o_orderkey NULLS FIRST, c_custkey LIMIT 60")
-dialect("sort_function", "SELECT p_partkey FROM part ORDER BY LENGTH(p_name), p_partkey LIMIT 30", "SELECT p_partkey FROM part ORDER BY strlen(p_name), p_partkey LIMIT 30")
-dialect("sort_natural", "SELECT s_name, NATURAL_SORT(s_name) AS k FROM supplier ORDER BY NATURAL_SORT(s_name) LIMIT 50",
-        "SELECT s_name, list_aggregate(list_transform(regexp_extract_all(s_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, CAST(greatest(20, length(x)) AS INTEGER), '0') ELSE x END), 'string_agg', '') AS k FROM supplier ORDER BY k LIMIT 50")
-# the same sorts of every row
-dialect("sort_multi_all", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey")
-dialect("sort_nulls_all", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey, c.c_custkey",
+dialect("sort_multi", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey")
+dialect("sort_nulls", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey, c.c_custkey",
         "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY o_orderkey NULLS FIRST, c_custkey")
-dialect("sort_function_all", "SELECT p_partkey FROM part ORDER BY LENGTH(p_name), p_partkey", "SELECT p_partkey FROM part ORDER BY strlen(p_name), p_partkey")
-dialect("sort_natural_all", "SELECT s_name, NATURAL_SORT(s_name) AS k FROM supplier ORDER BY NATURAL_SORT(s_name)",
+dialect("sort_function", "SELECT p_partkey FROM part ORDER BY LENGTH(p_name), p_partkey", "SELECT p_partkey FROM part ORDER BY strlen(p_name), p_partkey")
+dialect("sort_natural", "SELECT s_name, NATURAL_SORT(s_name) AS k FROM supplier ORDER BY NATURAL_SORT(s_name)",
         "SELECT s_name, list_aggregate(list_transform(regexp_extract_all(s_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, CAST(greatest(20, length(x)) AS INTEGER), '0') ELSE x END), 'string_agg', '') AS k FROM supplier ORDER BY k")
 dialect("topk", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
 dialect("limit_offset", "SELECT event_id FROM events ORDER BY event_id LIMIT 15 OFFSET 40", "SELECT event_id FROM events ORDER BY event_id LIMIT 15 OFFSET 40")
@@ -221,9 +208,7 @@ dialect("win_running", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORD
         "SELECT event_id, count(*) OVER w AS n, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 dialect("win_partition_totals", "SELECT l_orderkey, l_linenumber, SUM(l_linenumber) OVER (PARTITION BY l_orderkey) AS s, COUNT(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem ",
         "SELECT l_orderkey, l_linenumber, CAST(sum(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) AS s, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem")
-dialect("win_moving_frame", "SELECT event_id, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m FROM events ORDER BY event_id LIMIT 500",
-        "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m FROM events ORDER BY event_id LIMIT 500")
-dialect("win_moving_frame_all", "SELECT event_id, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m FROM events ORDER BY event_id",
+dialect("win_moving_frame", "SELECT event_id, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m FROM events ORDER BY event_id",
         "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS m FROM events ORDER BY event_id")
 dialect("win_rank_unordered", "SELECT n_nationkey, RANK() OVER (PARTITION BY n_regionkey) AS r FROM nation ", "SELECT n_nationkey, 1::BIGINT AS r FROM nation")
 
