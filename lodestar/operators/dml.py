@@ -42,42 +42,66 @@ def insert(table: DataFrame, proposed: DataFrame) -> Change:
     return Change(table.unionByName(proposed), proposed)
 
 
-def insert_or_ignore(table: DataFrame, proposed: DataFrame, keys: list[list[str]]) -> Change:
-    """ON CONFLICT DO NOTHING: a row goes if any key, without nulls, is taken by the table or by an earlier row of the batch."""
-    left = _numbered(proposed.select(*table.columns))
-    for key in keys:
-        known = F.lit(True)
-        for k in key:
-            known = known & F.col(k).isNotNull()
-        first = left.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_at"))).filter(~known | (F.col("_n") == 1)).drop("_n")
-        taken = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).distinct()
-        left = first.join(taken, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)]), "left_anti")
-    return insert(table, left.drop("_at"))
+def _known(key: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+
 
+def _without(rows: DataFrame, taken: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key, where it has no null, is not among the taken ones."""
+    other = taken.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+    return rows.join(other, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)]), "left_anti")
 
-def upsert(table: DataFrame, proposed: DataFrame, key: list[str], assign: dict[str, Column]) -> Change:
-    """ON CONFLICT DO UPDATE SET on one key: assign may name old columns as they are and proposed ones as excluded.<name>.
 
-    Of several proposals for one key the first inserts or updates and the
-    last one's assignments stand, as if they came one after the other with
-    assignments that do not build on each other.
+def insert_or_ignore(table: DataFrame, proposed: DataFrame, keys: list[list[str]], at: str | None = None, keep=None) -> Change:
+    """ON CONFLICT DO NOTHING: a row goes if any key, without nulls, is taken by the table or by an earlier row that stays.
+
+    at names a column with the order of the batch. With several keys a row
+    that one key rejects frees its other keys, so rows are settled in rounds:
+    those first under all their keys stay, those that meet one that stays go.
+    keep(df) writes the rows of a round once; as many rounds run as rows wait
+    for one another in a chain.
+    """
+    left = _numbered(proposed) if at is None else proposed.withColumnRenamed(at, "_at")
+    for key in keys:
+        left = _without(left, table, key)
+    ranks = {f"_n{i}": F.row_number().over(Window.partitionBy(*key).orderBy("_at")) for i, key in enumerate(keys)}
+    first = reduce(lambda a, b: a & b, [~_known(key) | (F.col(f"_n{i}") == 1) for i, key in enumerate(keys)], F.lit(True))
+    if len(keys) < 2:
+        return insert(table, left.withColumns(ranks).filter(first) if ranks else left)
+    keep = keep or (lambda df: df)
+    left, stay = keep(left), None
+    while left.head(1):
+        won = keep(left.withColumns(ranks).filter(first).select(*left.columns))
+        stay = won if stay is None else stay.union(won)
+        left = left.join(won.select(F.col("_at").alias("_w")), F.col("_at") == F.col("_w"), "left_anti")
+        for key in keys:
+            left = _without(left, won, key)
+        left = keep(left)
+    return insert(table, proposed.limit(0) if stay is None else stay)
+
+
+def upsert(table: DataFrame, proposed: DataFrame, key: list[str], assign: dict[str, str], at: str | None = None) -> Change:
+    """ON CONFLICT DO UPDATE SET on one key: assign, in SQL, may name old columns as o.<name> and proposed ones as excluded.<name>.
+
+    Proposals for one key are applied in turn, each to what the one before
+    left; of a key that the table lacks the first inserts. Assignments need
+    not be associative, so the proposals of one key meet in one row.
     """
     cols = table.columns
-    batch = _numbered(proposed.select(*cols))
-    w = Window.partitionBy(*key)
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    ranked = batch.withColumns({"_first": F.row_number().over(w.orderBy("_at")), "_last": F.row_number().over(w.orderBy(F.desc("_at"))), "_free": ~known})
-    firsts = ranked.filter("_free or _first = 1").select(*cols)
-    lasts = ranked.filter("not _free and _last = 1").select(*cols)
-    many = ranked.filter("not _free and _first > 1").select(*key).distinct()
-    old = table.unionByName(firsts.join(table.select(*key).distinct(), key, "left_anti"))
-    fresh = old.join(many.withColumn("_hit", F.lit(True)), key, "left").join(table.select(*key).distinct().withColumn("_was", F.lit(True)), key, "left").select(*[old[c] for c in cols], "_hit", "_was")
-    o, e = fresh.alias("o"), lasts.alias("excluded")
-    met = o.join(e, reduce(lambda a, b: a & b, [F.col(f"o.{k}") == F.col(f"excluded.{k}") for k in key]), "left")
-    hit = F.col(f"excluded.{key[0]}").isNotNull() & (F.coalesce(F.col("o._was"), F.lit(False)) | F.coalesce(F.col("o._hit"), F.lit(False)))
-    rows = met.select(*[F.when(hit, assign[c]).otherwise(F.col(f"o.{c}")).alias(c) if c in assign else F.col(f"o.{c}").alias(c) for c in cols])
-    touched = rows.join(batch.select(*key).distinct(), key, "left_semi").select(*cols)
-    return Change(rows, touched)
+    batch = _numbered(proposed) if at is None else proposed.withColumnRenamed(at, "_at")
+    kinds = dict(table.dtypes)
+    free = batch.filter(~_known(key)).select(*cols)
+    groups = batch.filter(_known(key)).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.sort_array(F.collect_list(F.struct("_at", *cols))).alias("_all"))
+    old = table.select(F.struct(*cols).alias("_old"))
+    met = old.join(groups, reduce(lambda a, b: a & b, [F.col(f"_old.{k}") == F.col(f"_k{i}") for i, k in enumerate(key)]), "full")
+    whole = f"struct<{', '.join(f'`{c}`:{kinds[c]}' for c in cols)}>"
+    start = F.when(F.col("_old").isNull(), F.struct(*[F.col("_all")[0][c].alias(c) for c in cols])).otherwise(F.col("_old"))
+    rest = F.when(F.col("_old").isNull(), F.slice("_all", F.lit(2), F.size("_all"))).otherwise(F.coalesce(F.col("_all"), F.array()))
+    turned = met.select(F.col("_all").isNotNull().alias("_hit"), start.cast(whole).alias("_o"), rest.alias("_rest"))
+    values = [f"'{c}', CAST({assign[c]} AS {kinds[c]})" if c in assign else f"'{c}', o.`{c}`" for c in cols]
+    step = f"CAST(named_struct({', '.join(values)}) AS {whole})"
+    out = turned.select("_hit", F.expr(f"aggregate(_rest, _o, (o, excluded) -> {step})").alias("_o")).select("_hit", "_o.*")
+    return Change(out.drop("_hit").unionByName(free), out.filter("_hit").drop("_hit").unionByName(free))
 
 
 def update(table: DataFrame, assign: dict[str, Column], where: Column | None = None) -> Change:
@@ -114,11 +138,15 @@ def truncate(table: DataFrame) -> Change:
     return Change(table.limit(0), table)
 
 
-def with_numbers(table: DataFrame, proposed: DataFrame, column: str) -> DataFrame:
-    """Autoincrement: nulls get the numbers after the largest one, in batch order; row counts of the parts give the offsets."""
+def with_numbers(table: DataFrame, proposed: DataFrame, column: str, at: str | None = None) -> DataFrame:
+    """Autoincrement: nulls get the numbers after the largest one, in batch order; row counts of the parts give the offsets.
+
+    at names a stored monotonically_increasing_id, so that all evaluations see the same order and parts.
+    """
     top = table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
     given = proposed.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-    batch = proposed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), "_free": F.col(column).isNull()})
+    order = F.monotonically_increasing_id() if at is None else F.col(at)
+    batch = proposed.withColumns({"_part": F.spark_partition_id() if at is None else F.shiftright(at, 33).cast("int"), "_at": order, "_free": F.col(column).isNull()})
     sizes = {r[0]: r[1] for r in batch.filter("_free").groupBy("_part").count().collect()}
     offset, starts = max(top, given), {}
     for part in sorted(sizes):

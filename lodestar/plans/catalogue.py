@@ -299,7 +299,7 @@ def dml_insert_defaults(spark, sf_dir):
 def dml_upsert_update(spark, sf_dir):
     old = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     new = old.filter("s_suppkey <= 10").withColumn("s_acctbal", F.lit(1.0)).union(old.filter("s_suppkey <= 5").select(F.col("s_suppkey") + 100000, "s_acctbal"))
-    return dml.upsert(old, new, ["s_suppkey"], {"s_acctbal": F.col("o.s_acctbal") + F.col("excluded.s_acctbal")}).rows
+    return dml.upsert(old, new, ["s_suppkey"], {"s_acctbal": "o.s_acctbal + excluded.s_acctbal"}).rows
 
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 900, 'fresh'")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestar.plans import catalogue
+from lodestar.plans import catalogue, statements  # noqa: F401  statements registers its queries
 from tests.oracle import connect, same
 
 
