@@ -52,6 +52,25 @@ def test_a_very_long_text_takes_bounded_memory():
         assert peak < 5 * size + 60 * tk.CHUNK, peak / size
 
 
+def test_ngrams_across_windows_of_tokens(monkeypatch):
+    """Whatever number of tokens is exploded at once, each place has the same n-grams."""
+    part = pa.RecordBatch.from_pydict({"text": ["a b c d e f g", None, "", "h", "i j a b c"]})
+
+    def all_of(tokens):
+        monkeypatch.setattr(ngram_lm, "TOKENS", tokens)
+        out = []
+        for owner, place, skip, grams in ngram_lm._windows(part, 3):
+            for i in range(len(owner)):
+                out.append((owner[i], place[i], *(g[skip + i] for o, g in enumerate(grams, 1) if place[i] >= o - 1)))
+        return out
+
+    whole = all_of(1 << 17)
+    assert [r[:2] for r in whole] == [(0, i) for i in range(7)] + [(3, 0)] + [(4, i) for i in range(5)]
+    assert whole[2][4] == whole[12][4]  # a b c
+    for tokens in (1, 2, 3, 5):
+        assert all_of(tokens) == whole
+
+
 def test_search_by_steps(monkeypatch):
     words = [f"w{i}" for i in range(300)]
     item = " ".join(words[20:80])
