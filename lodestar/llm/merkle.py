@@ -49,11 +49,18 @@ def _by_words(stretch: Column) -> Column:
     return F.flatten(F.transform(F.split(marked, "\n"), lambda p: F.regexp_extract_all(p, F.lit(rf"(?s).{{1,{WIDEST}}}"), F.lit(0))))
 
 
+def _too_long(p: Column) -> Column:
+    """The pieces of a paragraph of over WIDEST characters: cut up, and the signs that end it alone, where it is as long without them."""
+    stretch = F.array(F.regexp_replace(p, rf"[{ENDS}]+\z", ""))
+    signs = F.transform(stretch, lambda s: F.substring(p, F.length(s) + 1, F.length(p)))
+    return F.transform(stretch, lambda s: F.when(F.length(s) > WIDEST, F.concat(_by_words(s), F.filter(signs, lambda e: e != ""))).otherwise(F.array(p)))[0]
+
+
 def paragraphs(text: Column) -> Column:
     """The pieces of the text in order; together they are the whole text."""
-    # a stretch that is too long comes without the signs that end it, which follow alone
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^{ENDS}]{{0,{WIDEST}}}+[{ENDS}]++|[^{ENDS}]++"), F.lit(0))
-    return F.flatten(F.transform(found, lambda p: F.when((F.length(p) > WIDEST) & ~p.rlike(rf"[{ENDS}]\z"), _by_words(p)).otherwise(F.array(p))))
+    # a look at either side of a place takes Java less time than a match over everything that is no end sign
+    found = F.filter(F.split(F.coalesce(text, F.lit("")), rf"(?<=[{ENDS}])(?![{ENDS}])"), lambda p: p != "")
+    return F.flatten(F.transform(found, lambda p: F.when(F.length(p) > WIDEST, _too_long(p)).otherwise(F.array(p))))
 
 
 def sections(text: Column) -> Column:
@@ -109,17 +116,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(F.lit(1 - 1e-9), share))
 
 
+def _listed(bounds: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """The bounds' ids and hashes as two literals, each from one text: thousands of columns would take the driver longer than the rows."""
+    return tuple(F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*bounds))
+
+
 def _below(bounds: list[tuple[int, int]], k: Column, t: Column) -> Column:
-    """How many of the sorted bounds are less than (k, t), by binary search over a literal."""
+    """How many of the sorted bounds are less than (k, t), by binary search over literals."""
     if not bounds:
         return F.lit(0)
-    listed = F.array(*[F.struct(F.lit(x).alias("k"), F.lit(y).alias("t")) for x, y in bounds])
+    ks, ts = _listed(bounds)
     steps = len(bounds).bit_length()
 
     def step(at: Column, s: Column) -> Column:
         way = F.pow(F.lit(2), s).cast("int")
-        b = F.try_element_at(listed, at + way)
-        return at + F.when(b.isNotNull() & ((b["k"] < k) | ((b["k"] == k) & (b["t"] < t))), way).otherwise(0)
+        b = F.try_element_at(ks, at + way)
+        return at + F.when(b.isNotNull() & ((b < k) | ((b == k) & (F.try_element_at(ts, at + way) < t))), way).otherwise(0)
 
     return F.reduce(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
 
@@ -157,9 +169,10 @@ def with_next(docs: DataFrame, extra: dict[str, Column], groups_per_partition: i
     # a bound is the largest key of its range in this table, so that the row that carries it is there
     placed = rows.withColumn("_g", _below(cuts, F.col("_k"), F.col("_t")))
     # rows at a bound also serve the range above it; those with the largest key of all serve range 0 from below
-    listed = F.array(*[F.struct(F.lit(x).alias("k"), F.lit(y).alias("t")) for x, y in cuts]) if cuts else None
-    bound = F.try_element_at(listed, F.col("_g") + 1) if cuts else None
-    at_bound = F.coalesce((bound["k"] == F.col("_k")) & (bound["t"] == F.col("_t")), F.lit(False)) if cuts else F.lit(False)
+    at_bound = F.lit(False)
+    if cuts:
+        ks, ts = (F.try_element_at(x, F.col("_g") + 1) for x in _listed(cuts))
+        at_bound = F.coalesce((ks == F.col("_k")) & (ts == F.col("_t")), at_bound)
     copies = F.array_compact(
         F.array(
             F.struct(F.col("_g").alias("g"), F.lit(1).alias("own")),
