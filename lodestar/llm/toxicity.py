@@ -13,6 +13,7 @@ tokens are read as they stand.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -46,6 +47,23 @@ _SEP = np.zeros(256, bool)
 _SEP[[ord(c) for c in ".-_*~"]] = True
 
 
+@lru_cache(1 << 16)
+def _options(c: str, again: bool, inner: bool) -> list[tuple[str, float]]:
+    """What a character may stand for, and the cost of each; `inner`: neither the first, nor after the last letter."""
+    options: list[tuple[str, float]] = []
+    if c.isalpha():
+        options.append((c, 0.0))
+    elif c in SEPARATORS:
+        options.append(("", SEPARATE))
+        options += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
+    else:
+        options += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
+        options.append(("", DROP if inner else 1.5))
+    if again and c not in SEPARATORS:
+        options.append(("", REPEAT))
+    return options
+
+
 @dataclass
 class CharModel:
     """Trigram counts over words with two leading '^' and a final '$', with additive smoothing."""
@@ -54,6 +72,7 @@ class CharModel:
     context: dict[str, int] = field(default_factory=dict)
     alphabet: int = 64
     cache: dict[str, str | None] = field(default_factory=dict)
+    moves: dict[str, tuple[float, str]] = field(default_factory=dict)
 
     def __post_init__(self):
         for k, n in self.counts.items():
@@ -63,41 +82,50 @@ class CharModel:
     def cost(self, two: str, c: str) -> float:
         return log((self.context.get(two, 0) + 0.5 * self.alphabet) / (self.counts.get(two + c, 0) + 0.5))
 
+    def move(self, three: str) -> tuple[float, str]:
+        """What the last letter costs after the two before it, and the state it leads to."""
+        out = self.cost(three[:2], three[2:]), three[-2:]
+        if len(self.moves) < 200_000:
+            self.moves[three] = out
+        return out
+
     def decode(self, token: str) -> str:
         """The likeliest word or words behind a token; states are the last two letters read."""
         token = token.lower()
-        tail = max((i for i, c in enumerate(token) if c.isalpha()), default=-1)
+        tail = next((i for i in range(len(token) - 1, -1, -1) if token[i].isalpha()), -1)
         done: list[str] = []
         # a path is its cost and its last letter as [letter before, letter], shared with other paths
         paths: dict[str, tuple[float, list | None]] = {"^^": (0.0, None)}
+        known = self.moves
+        last = ""
         for i, c in enumerate(token):
-            options: list[tuple[str, float]] = []
-            again = i > 0 and token[i - 1] == c
-            if c.isalpha():
-                options.append((c, 0.0))
-            elif c in SEPARATORS:
-                options.append(("", SEPARATE))
-                options += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-            else:
-                options += [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-                options.append(("", DROP if 0 < i < tail else 1.5))
-            if again and c not in SEPARATORS:
-                options.append(("", REPEAT))
+            separator = c in SEPARATORS
+            options = _options(c, last == c, 0 < i < tail)
+            last = c
             step: dict[str, tuple[float, list | None]] = {}
             for two, (cost, read) in paths.items():
                 for x, extra in options:
-                    now = cost + extra + (self.cost(two, x) if x else 0.0)
-                    key = (two + x)[-2:]
-                    if key not in step or now < step[key][0]:
-                        step[key] = (now, [read, x] if x else read)
-                if c in SEPARATORS and two != "^^":
-                    now = cost + BREAK + self.cost(two, "$")
+                    if x:
+                        spent, key = known.get(two + x) or self.move(two + x)
+                        now = cost + extra + spent
+                        other = step.get(key)
+                        if other is None or now < other[0]:
+                            step[key] = (now, [read, x])
+                    else:
+                        now = cost + extra
+                        other = step.get(two)
+                        if other is None or now < other[0]:
+                            step[two] = (now, read)
+                if separator and two != "^^":
+                    now = cost + BREAK + (known.get(two + "$") or self.move(two + "$"))[0]
                     if "^^" not in step or now < step["^^"][0]:
                         step["^^"] = (now, [read, " "])
             paths = step
             if i % PIECE == PIECE - 1:
                 done += _settled([read for _, read in paths.values()])
-        read = min(((cost + self.cost(two, "$"), _unwound(read)) for two, (cost, read) in paths.items()), default=(0.0, []))[1]
+        ends = [(cost + (known.get(two + "$") or self.move(two + "$"))[0], read) for two, (cost, read) in paths.items()]
+        least = min((cost for cost, _ in ends), default=0.0)
+        read = min((_unwound(read) for cost, read in ends if cost == least), default=[])
         return "".join(done + read).strip()
 
     def reading(self, token: str) -> str | None:
@@ -317,12 +345,12 @@ def _gain(p: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
     return p * np.log(np.maximum(share, 1e-12) / rate) + (n - p) * np.log(np.maximum(1 - share, 1e-12) / (1 - rate))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 10_000) -> ToxicModel:
-    """Fits on at most `limit` labelled rows.
+def train(docs: DataFrame, labels: DataFrame, limit: int | None = None) -> ToxicModel:
+    """Fits on all labelled rows outside the held-out third, or on at most `limit` if that is given.
 
     Character trigrams and the documents with and without a label that hold a
-    feature are counted in Spark; the driver gets all trigrams of these rows and
-    all features that pass, so `limit` bounds them. A feature is kept where chance
+    feature are counted in Spark; the driver gets the trigrams, which grow with
+    the different letters and not with the rows, and the features that pass. A feature is kept where chance
     would hardly give its share of toxic documents, over all features tried,
     even if texts count once where it stands in the same surroundings.
     """
@@ -404,17 +432,19 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 10_000) -> ToxicModel
     model.base = (each[0, 1] + 0.5) / (each[0].sum() + 1)
     model.weight = -np.log1p(-np.clip((likely - model.base) / (1 - model.base), 1e-6, 0.999))
     model.chars.cache.clear()
+    model.chars.moves.clear()
     return model
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, limit: int = 10_000, threshold: float = 0.7) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, limit: int | None = None, threshold: float = 0.7) -> DataFrame:
     """Every column of docs but those named here, and held_out, score, predicted, n_signals (different words that speak for label 1).
 
     Null and empty texts have no words and get the score of texts without a
     signal. Texts of any length are read whole, part by part above tk.CHUNK
     bytes. Equal texts have equal scores, repeated rows a row each; an id with
-    two different labels is no training row, and where more than `limit` rows
-    are labelled those with the smallest hash of the id are taken. Without
+    two different labels is no training row. All other labelled rows outside the
+    held-out third are learned from; only under a `limit` are those with the
+    smallest hash of the id taken. Without
     usable labels the score is the smoothed share of label 1. An empty table
     gives no rows.
     """

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import language, leaks, merkle, mixing, neardup, ngram_lm, quality, repeats, toxicity, urlrules
+from lodestar.llm import labelled, language, leaks, merkle, mixing, neardup, ngram_lm, quality, repeats, toxicity, urlrules
 from tests.llm import brute
 
 BIG = 2**60 + 1
@@ -204,6 +204,18 @@ def test_toxic_words_behind_disguises(spark):
     assert [got[d] for d, _ in new] == [1] * 7 + [0] * 3
 
 
+def test_toxic_words_of_all_labelled_rows(spark):
+    """A word that only stands in rows beyond the first 10,000 by the hash of the id, which once were all that was read."""
+    ids = spark.range(16000).withColumnRenamed("id", "doc_id").filter(labelled.remainder(3) != 1)
+    late = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[10_000:][::5]}
+    assert len(late) > 50
+    docs = [(i, f"note {i * 7919 % 10007} says {'grumbleword' if i in late else 'thanks'} to {i}") for i in range(16000)]
+    labels = spark.createDataFrame([(i, int(i in late)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    bad, good = model.score(["what a grumbleword here", "what a day here"])[0]
+    assert bad >= 0.7 > good
+
+
 def test_toxic_words_in_long_and_joined_disguises():
     """Spelled words are found beside single letters and at any length, and behind doubled letters and trailing signs."""
     counts: dict[str, int] = {}
