@@ -147,6 +147,15 @@ def test_scores(docs, none, least):
     assert ngram_lm.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_backing_off_is_only_prepared_where_it_can_happen(docs, monkeypatch, least):
+    """Where every n-gram counts, no table of counts holds the n-gram that would be backed off to."""
+    made, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema, *a, **k: made.append(schema) or real(self, run, schema, *a, **k))
+    ngram_lm.score_documents(docs, order=3, min_count=least).collect()
+    assert any("ctx" in str(s) for s in made) and any("suffix" in str(s) for s in made) == (least > 1)
+
+
 def test_urls(spark):
     link = '<head><LINK rel="canonical" href="{}"></head>'
     pages = spark.createDataFrame(
